@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, packing
+from ..shipping import ship
+from . import audio, licenses, packing, pieces, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -15,20 +16,47 @@ def tokenizer_path(name: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("detections")
+
+
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_features(read(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digest(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(read(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op2_license_rules": op2_license_rules,
     "op3_mpeg_audio": op3_mpeg_audio,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_warc_segments": op8_warc_segments,
     "op9_packing": op9_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc_segments": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d,
+                   octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        r AS (SELECT d, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
+        SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN m = page_id THEN NULL ELSE m END AS refers_to
+        FROM p LEFT JOIN r ON p.d = r.d
+    """,
+}
