@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import audio, licenses, packing, pieces, warc
+from . import audio, dedup, licenses, packing, pieces, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("detections")
 
@@ -41,6 +45,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_license_rules": op2_license_rules,
     "op3_mpeg_audio": op3_mpeg_audio,
     "op7_sentencepiece": op7_sentencepiece,
