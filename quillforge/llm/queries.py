@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import audio, dedup, licenses, packing, pieces, warc
+from . import audio, dedup, language, licenses, packing, pieces, private, warc
+
+
+def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.find_personal_data(read(spark, sf_dir, "documents"))
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +36,10 @@ def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_features(read(spark, sf_dir, "documents"))
 
 
+def op5_language_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digest(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -48,9 +56,11 @@ QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_license_rules": op2_license_rules,
     "op3_mpeg_audio": op3_mpeg_audio,
+    "op5_language_ranks": op5_language_ranks,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_warc_segments": op8_warc_segments,
     "op9_packing": op9_packing,
+    "op10_private": op10_private,
 }
 
 ORACLES: dict[str, str] = {
