@@ -1,4 +1,413 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries and their SQL twins.
 
-QUERIES = {}
-ORACLES = {}
+The tables have no rubrics, so operators run on stand-ins: order lines are rubric criteria or solver
+samples of an order, events are calls and sessions of a user, documents are questions and their
+sources papers, labels are verifier verdicts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import gates, html, json_text, scoring, text, verdict
+from ..operators import dataset, history, metrics, sampling
+from ..shipping import ship
+from . import inner_loop
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _r(column, places: int = 6):
+    return F.round(column, places)
+
+
+def rubric_score(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    weight = F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * (F.col("l_partkey") % 10 + 1)
+    return lines.groupBy("l_orderkey").agg(_r(scoring.rubric_score_rows(F.col("l_discount") * 10, weight)).alias("score"))
+
+
+def rubric_score_arrays(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    weight = F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * (F.col("l_partkey") % 10 + 1)
+    per = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_discount") * 10).alias("s"), weight.alias("w")))).alias("c"))
+    return per.select("l_orderkey", _r(scoring.rubric_score(F.transform("c", lambda x: x["s"]), F.transform("c", lambda x: x["w"]))).alias("score"))
+
+
+def _gate_inputs(lines: DataFrame) -> DataFrame:
+    weak, score = F.col("l_linestatus") == "O", F.col("l_discount") * 10
+    of = lambda flag: F.when(F.col("l_linestatus") == flag, score)
+    return lines.groupBy("l_orderkey").agg(
+        F.avg(of("O")).alias("weak_avg"), F.max(of("O")).alias("weak_max"), F.count_if(weak & (score == 0)).alias("weak_zeros"), F.avg(of("F")).alias("strong_avg"),
+    )
+
+
+def outcome_counts(spark, sf_dir):
+    per = _gate_inputs(read(spark, sf_dir, "lineitem"))
+    outcome = gates.gate_outcome(F.col("weak_avg"), F.col("weak_max"), F.col("weak_zeros"), F.col("strong_avg"))
+    return metrics.outcome_counts(per.select(outcome.alias("outcome")))
+
+
+def gate_reasons(spark, sf_dir):
+    per = _gate_inputs(read(spark, sf_dir, "lineitem"))
+    weak = gates.weak_check(F.col("weak_avg"), F.col("weak_max"), F.col("weak_zeros"))
+    strong = gates.strong_check(F.col("weak_avg"), F.col("strong_avg"))
+    return per.select(
+        "l_orderkey", F.array_join(weak["reasons"], ",").alias("weak_reasons"), F.array_join(strong["reasons"], ",").alias("strong_reasons"), _r(strong["gap"]).alias("gap"),
+    )
+
+
+def mean_best_at_k(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_discount") * 10).alias("score"), (F.col("l_returnflag") == "R").alias("infra"), (F.col("l_tax") > 0.06).alias("cut"))
+    out = metrics.at_k(lines, "l_orderkey", "score", "infra", "cut")
+    return out.select("n", "left_out", *[_r(F.col(c)).alias(c) for c in ("mean_at_k", "best_at_k", "truncation_rate")])
+
+
+def plain_averages(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").withColumn("score", F.when(F.col("l_returnflag") != "R", F.col("l_discount") * 10))
+    return metrics.plain_averages(lines, "l_orderkey", "l_linestatus", "score").withColumn("avg_score", _r(F.col("avg_score")))
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return events.select(
+        F.col("event_type").alias("role"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), k.alias("prompt_tokens"), (k * 2).alias("completion_tokens"),
+        F.when(k % 2 == 0, k).alias("reasoning_tokens"), F.lit(None).cast("bigint").alias("cached_tokens"), (k == 0).alias("usage_missing"), F.col("value").alias("latency_s"), "event_id",
+    )
+
+
+def usage_by_role(spark, sf_dir):
+    return metrics.usage_totals(_calls(spark, sf_dir), "event_id").withColumn("latency_s", _r(F.col("latency_s"), 3))
+
+
+def session_score(spark, sf_dir):
+    kind = F.col("event_type")
+    return metrics.session_scores(read(spark, sf_dir, "events"), "user_id", kind == "purchase", kind != "error").withColumn("score", _r(F.col("score")))
+
+
+def stopped_sessions(spark, sf_dir):
+    last = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("stopped_by"))
+    return last.where(F.col("stopped_by") == "error")
+
+
+def dedupe_questions(spark, sf_dir):
+    return dataset.first_wins(read(spark, sf_dir, "documents"), "text", ["doc_id"]).select("doc_id")
+
+
+def split_by_paper(spark, sf_dir):
+    return dataset.split_by_paper(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", 100).select("doc_id", "split")
+
+
+def split_train_val(spark, sf_dir):
+    return dataset.split_papers(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", n_train=50, n_val=25)
+
+
+def split_manifest(spark, sf_dir):
+    split = dataset.split_by_paper(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", 100)
+    return dataset.manifest(split, "source", 42).withColumn("test_papers", F.array_join("test_papers", ","))
+
+
+def length_window_sha(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where(F.length("text").between(200, 200_000))
+    return docs.select("doc_id", F.length("text").cast("long").alias("chars"), text.sha12(F.col("text")).alias("sha12"))
+
+
+def snippet_300(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+
+
+def clip_answer(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.clip(F.col("text"), 200).alias("clipped"))
+
+
+def blank_questions(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(~text.is_blank(F.col("text"))).select("doc_id")
+
+
+def verdict_gate(spark, sf_dir):
+    """Labels stand for the verifier's tokens: an odd spelling passes, anything else fails closed."""
+    labels = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    say = lambda cond, good, bad: verdict.token(F.when(cond, F.lit(good)).otherwise(F.lit(bad)))
+    tokens = {
+        "check_1_verdict": say(F.col("toxic") == 0, " no_leakage ", "LEAKAGE"), "check_2_verdict": say(F.col("quality") == 1, "good", "BAD"),
+        "check_3_verdict": verdict.token(F.when(F.col("lang") != "es", F.lit("PASS"))), "check_4_verdict": verdict.token(F.lit("CONSISTENT")),
+    }
+    made = verdict.judge_tokens(tokens, say(F.col("lang") != "fr", "pass", "FAIL"))
+    return labels.select("doc_id", made["passed"].alias("passed"), F.array_join(made["issues"], ",").alias("issues"))
+
+
+def rubric_shape_issues(spark, sf_dir):
+    per = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") != "R").cast("int").alias("p"), F.count(F.lit(1)).cast("int").alias("n"))
+    return per.select("l_orderkey", F.array_join(verdict.rubric_shape(F.col("p"), F.col("n"), 3, 1, 4, 7), ",").alias("issues"))
+
+
+def criterion_checks(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    c = F.struct(F.col("l_linestatus").alias("a"), F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("criterion"), (F.col("l_partkey") % 25 - 12).cast("int").alias("weight"), F.when(F.col("l_returnflag") == "R", "negative").otherwise("positive").alias("category"))
+    return lines.groupBy("l_orderkey").agg(F.count_if(verdict.criterion_valid(c)).alias("valid"), F.count(F.lit(1)).alias("total"))
+
+
+def history_text(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    return history.ordered_text(rows, "conv_id", ["turn"], F.concat(F.lit("- Q: "), F.col("text")), "|", "history")
+
+
+def failure_history(spark, sf_dir):
+    """Whole rendered histories: turns are attempts, their mode by role."""
+    rows = read(spark, sf_dir, "conversations")
+    mode = F.when(F.col("role") == "user", "too_easy").when(F.col("role") == "assistant", "failed_on_strong").otherwise("failed_qv")
+    attempts = rows.select("conv_id", F.col("turn").alias("seq"), mode.alias("mode"), F.col("text").alias("question"), F.concat(F.lit("turn="), F.col("turn").cast("string")).alias("detail"))
+    return history.render_history(attempts, "conv_id")
+
+
+def html_title(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"))
+
+
+def listing_ids(spark, sf_dir):
+    url = F.concat(F.lit("http://host/abs/"), (F.col("page_id") % 7).cast("string"), F.lit("."), F.col("page_id").cast("string"), F.lit("v2"))
+    return read(spark, sf_dir, "pages").select("page_id", text.file_id(text.listing_id(url)).alias("file_id"))
+
+
+def boltzmann_weights(spark, sf_dir):
+    brands = read(spark, sf_dir, "part").groupBy("p_brand").agg((F.avg("p_retailprice") / 1000).alias("s"))
+    return sampling.boltzmann(brands, "p_brand", "s", 0.1).select("p_brand", _r(F.col("p")).alias("p"), _r(F.col("cum")).alias("cum"))
+
+
+def first_tie_argmax(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    return lines.groupBy("l_orderkey").agg(sampling.first_max("l_linenumber", "l_discount", order).alias("best"), sampling.first_min("l_linenumber", "l_discount", order).alias("worst"))
+
+
+def best_variant(spark, sf_dir):
+    brands = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.max("p_size").cast("double").alias("m"))
+    return sampling.best_variant(brands, "m", "p_brand").select("p_brand", "m")
+
+
+def sample_replication(spark, sf_dir):
+    return dataset.replicate(read(spark, sf_dir, "embeddings").select("vec_id"), 3)
+
+
+def running_parent_mean(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    return metrics.running_mean(orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_orderkey", _r(F.col("mean_so_far")).alias("mean_so_far"))
+
+
+def accepted_children(spark, sf_dir):
+    """Orders whose price is strictly above their customer's mean so far, their own included."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    means = metrics.running_mean(orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice")
+    return means.where(F.col("o_totalprice") > F.col("mean_so_far") + 1e-6).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("accepted"))
+
+
+def papers_without_verdict(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+def papers_with_verdict(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+def reward_lookup(spark, sf_dir):
+    """Mean reward by question; a judge failure is null and stays out of the mean."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.when(F.col("l_returnflag") != "R", F.col("l_discount") * 10).alias("reward"))
+    found = dataset.must_match(lines, read(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
+    return found.groupBy("p_partkey", "p_brand").agg(_r(F.avg("reward")).alias("reward"), F.count("reward").alias("graded"), F.count(F.lit(1)).alias("completions"))
+
+
+def last_30_log(spark, sf_dir):
+    return history.last_n(read(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], 30).select("user_id", "event_id")
+
+
+def run_summary(spark, sf_dir):
+    """Users are papers; their events rounds, of which an error is a crash row."""
+    events = read(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    rounds = events.select(
+        F.when(F.col("event_type") != "error", F.col("event_type")).alias("outcome"), k.alias("weak_n"), F.least(k, F.lit(2)).alias("weak_cut"), F.lit(0).cast("bigint").alias("strong_n"), F.lit(0).cast("bigint").alias("strong_cut"),
+    )
+    done = events.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("accepted"), F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 100)).alias("final"))
+    out = metrics.run_summary(rounds, done)
+    return out.select(*[_r(F.col(c)).alias(c) if c.endswith(("yield", "rate")) else c for c in out.columns])
+
+
+def judge_normalise(spark, sf_dir):
+    """Event values as one-score judge replies: outside the tolerance they are unusable, inside they are clamped."""
+    events = read(spark, sf_dir, "events")
+    reply = F.concat(F.lit('{"per_criterion": ['), F.round(F.col("value") / 100 - 0.5, 4).cast("string"), F.lit(', "0.5", true]}'))
+    return events.select("event_id", _r(scoring.usable_scores(reply, 3)[0]).alias("score"))
+
+
+def answer_text(spark, sf_dir):
+    """Turns as completions whose thinking ends where their role says so."""
+    rows = read(spark, sf_dir, "conversations")
+    completion = F.when(F.col("role") == "user", F.concat(F.lit("<think>"), F.col("text"))).when(F.col("role") == "assistant", F.concat(F.lit("why</think> "), F.col("text"))).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", text.answer_text(completion, False).alias("answer"), text.split_thinking(completion)["finished"].alias("finished"))
+
+
+def error_taxonomy(spark, sf_dir):
+    status = (F.col("event_id") % 6).cast("int")
+    code = F.element_at(F.array(*[F.lit(x) for x in (400, 401, 429, 503, 200, 400)]), status + 1)
+    message = F.element_at(F.array(*[F.lit(x) for x in ("maximum context length is 10", "no key", "slow down", "", "Connection error.", "bad field")]), status + 1)
+    return read(spark, sf_dir, "events").groupBy(text.error_class(code, message).alias("error_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def html_to_markdown(spark, sf_dir):
+    ship(spark)
+    pages = read(spark, sf_dir, "pages")
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    return pages.select("page_id", html.html_to_markdown(F.col("html"), title, "").alias("markdown"))
+
+
+def extract_json(spark, sf_dir):
+    ship(spark)
+    rows = read(spark, sf_dir, "conversations")
+    reply = F.concat(F.col("text"), F.lit("\n```json\n{\"turn\": "), F.col("turn").cast("string"), F.lit(", \"tags\": [1, 2,],}\n``` done"))
+    found = F.try_parse_json(json_text.extract_json(reply))
+    return rows.select("conv_id", "turn", F.try_variant_get(found, "$.turn", "bigint").alias("found_turn"), F.size(F.try_variant_get(found, "$.tags", "array<int>")).alias("n_tags"))
+
+
+def inner_loop_scripted(spark, sf_dir):
+    """Documents as papers through the whole generate, verify, answer and judge loop with scripted models."""
+    ship(spark)
+    docs = read(spark, sf_dir, "documents")
+    papers = docs.select(F.col("doc_id").cast("string").alias("paper_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), "text")
+    rounds = inner_loop.run_inner_loop(papers, inner_loop.ScriptedModels(), inner_loop.LoopConfig(max_iterations=4, samples=2))
+    return rounds.groupBy("iteration", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SCORES = "CAST(l_discount * 10 AS DOUBLE)"
+_GATE = f"""
+    WITH g AS (
+        SELECT l_orderkey, avg(CASE WHEN l_linestatus = 'O' THEN {_SCORES} END) AS wa, max(CASE WHEN l_linestatus = 'O' THEN {_SCORES} END) AS wm,
+               sum(CASE WHEN l_linestatus = 'O' AND {_SCORES} = 0 THEN 1 ELSE 0 END) AS z, avg(CASE WHEN l_linestatus = 'F' THEN {_SCORES} END) AS sa
+        FROM lineitem GROUP BY l_orderkey)
+"""
+_D = "CAST({} AS DOUBLE)"
+_RUBRIC = f"""
+    SELECT l_orderkey, round(CASE WHEN pos = 0 THEN 0.0 ELSE greatest(0.0, raw / pos) END, 6) AS score
+    FROM (SELECT l_orderkey, sum(CAST(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * (l_partkey % 10 + 1) AS DOUBLE) * {_SCORES}) AS raw,
+                 CAST(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_partkey % 10 + 1 END) AS DOUBLE) AS pos
+          FROM lineitem GROUP BY l_orderkey)
+"""
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+_PAPERS = """
+    p AS (SELECT source, count(*) AS n, md5(concat('42:', source)) AS h FROM documents GROUP BY source),
+    c AS (SELECT source, coalesce(sum(n) OVER (ORDER BY h, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p),
+    s AS (SELECT doc_id, d.source, CASE WHEN b < 100 THEN 'test' ELSE 'train' END AS split FROM documents d JOIN c ON d.source = c.source)
+"""
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_MODE = "CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END"
+
+ORACLES = {
+    "rubric_score": _RUBRIC,
+    "rubric_score_arrays": _RUBRIC,
+    "outcome_counts": f"""{_GATE}
+        SELECT CASE WHEN wa IS NULL THEN 'no_weak' WHEN wa > {_D.format(0.65)} OR wm > {_D.format(0.75)} THEN 'too_easy' WHEN z > 0 THEN 'weak_zero'
+                    WHEN sa IS NULL OR sa < {_D.format('0.60')} OR sa >= {_D.format(0.95)} OR sa - wa < {_D.format('0.20')} THEN 'failed_on_strong' ELSE 'accepted' END AS outcome,
+               count(*) AS n FROM g GROUP BY 1""",
+    "gate_reasons": f"""{_GATE}
+        SELECT l_orderkey,
+               CASE WHEN wa IS NULL THEN 'no weak scores' ELSE concat_ws(',', CASE WHEN wa > {_D.format(0.65)} THEN 'weak_avg' END, CASE WHEN wm > {_D.format(0.75)} THEN 'weak_max' END, CASE WHEN z > 0 THEN 'weak_zero' END) END AS weak_reasons,
+               CASE WHEN sa IS NULL THEN 'no strong scores' ELSE concat_ws(',', CASE WHEN sa < {_D.format('0.60')} THEN 'strong_avg_low' END, CASE WHEN sa >= {_D.format(0.95)} THEN 'saturated' END, CASE WHEN sa - wa < {_D.format('0.20')} THEN 'gap' END) END AS strong_reasons,
+               round(sa - wa, 6) AS gap FROM g""",
+    "mean_best_at_k": f"""
+        WITH q AS (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS bad, avg({_SCORES}) AS m, max({_SCORES}) AS b,
+                          sum(CASE WHEN l_tax > {_D.format(0.06)} THEN 1 ELSE 0 END) AS cut, count(*) AS k FROM lineitem GROUP BY l_orderkey)
+        SELECT count(*) FILTER (bad = 0) AS n, count(*) FILTER (bad > 0) AS left_out, round(avg(m) FILTER (bad = 0), 6) AS mean_at_k,
+               round(avg(b) FILTER (bad = 0), 6) AS best_at_k, round(CAST(sum(cut) FILTER (bad = 0) AS DOUBLE) / nullif(sum(k) FILTER (bad = 0), 0), 6) AS truncation_rate FROM q""",
+    "plain_averages": f"SELECT l_orderkey, l_linestatus, round(avg(CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE {_SCORES} END), 6) AS avg_score FROM lineitem GROUP BY 1, 2",
+    "usage_by_role": f"""
+        SELECT event_type AS role, arg_min('m' || CAST(user_id % 3 AS VARCHAR), event_id) AS model, count(*) AS calls, count(*) FILTER ({_K} = 0) AS usage_missing,
+               round(sum(value), 3) AS latency_s, CAST(sum({_K}) AS BIGINT) AS prompt_tokens, CAST(sum({_K} * 2) AS BIGINT) AS completion_tokens,
+               CAST(sum(CASE WHEN {_K} % 2 = 0 THEN {_K} ELSE 0 END) AS BIGINT) AS reasoning_tokens, CAST(0 AS BIGINT) AS cached_tokens FROM events GROUP BY 1""",
+    "session_score": """
+        SELECT user_id, total, scored, passed, round(CAST(passed AS DOUBLE) / nullif(scored, 0), 6) AS score, scored > 0 AND scored >= CAST(0.8 AS DOUBLE) * total AS valid
+        FROM (SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS scored, count(*) FILTER (event_type = 'purchase') AS passed FROM events GROUP BY user_id)""",
+    "stopped_sessions": "SELECT user_id, e AS stopped_by FROM (SELECT user_id, arg_max(event_type, row(ts, event_id)) AS e FROM events GROUP BY user_id) WHERE e = 'error'",
+    "dedupe_questions": r"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) ORDER BY doc_id) AS n FROM documents) WHERE n = 1",
+    "split_by_paper": f"WITH {_PAPERS} SELECT doc_id, split FROM s",
+    "split_train_val": """
+        SELECT doc_id, CASE WHEN n <= 25 THEN 'val' ELSE 'train' END AS split
+        FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('42:', CAST(doc_id AS VARCHAR))), doc_id) AS n FROM documents) WHERE n <= 75""",
+    "split_manifest": f"""WITH {_PAPERS}
+        SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test, 42 AS seed,
+               (SELECT string_agg(source, ',' ORDER BY source) FROM (SELECT DISTINCT source FROM s WHERE split = 'test')) AS test_papers FROM s""",
+    "length_window_sha": "SELECT doc_id, length(text) AS chars, substr(sha256(text), 1, 12) AS sha12 FROM documents WHERE length(text) BETWEEN 200 AND 200000",
+    "snippet_300": r"""
+        SELECT doc_id, CASE WHEN length(f) <= 300 THEN f ELSE substr(f, 1, 297) || '...' END AS snippet
+        FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)""",
+    "clip_answer": f"""
+        SELECT conv_id, turn, CASE WHEN length(t) <= 200 THEN t ELSE substr(t, 1, 200) || ' [... ' || CAST(length(t) - 200 AS VARCHAR) || ' more chars]' END AS clipped
+        FROM (SELECT conv_id, turn, {_STRIP.format('text')} AS t FROM conversations)""",
+    "blank_questions": r"SELECT doc_id FROM documents WHERE regexp_replace(coalesce(text, ''), '\s+', '', 'g') <> ''",
+    "verdict_gate": """
+        WITH t AS (SELECT l.doc_id, CASE WHEN toxic = 0 THEN 'NO_LEAKAGE' ELSE 'LEAKAGE' END AS a, CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS b,
+                          CASE WHEN lang <> 'es' THEN 'PASS' ELSE 'MISSING' END AS c, CASE WHEN lang <> 'fr' THEN 'PASS' ELSE 'FAIL' END AS o
+                   FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+        i AS (SELECT doc_id, o, concat_ws(',', CASE WHEN a <> 'NO_LEAKAGE' THEN 'check_1_verdict=' || a END, CASE WHEN b <> 'GOOD' THEN 'check_2_verdict=' || b END,
+                     CASE WHEN c <> 'PASS' THEN 'check_3_verdict=' || c END) AS issues FROM t)
+        SELECT doc_id, issues = '' AND o = 'PASS' AS passed, CASE WHEN issues = '' AND o <> 'PASS' THEN 'overall=' || o ELSE issues END AS issues FROM i""",
+    "rubric_shape_issues": """
+        SELECT l_orderkey, concat_ws(',', CASE WHEN p < 3 THEN 'positive' END, CASE WHEN n - p < 1 THEN 'negative' END, CASE WHEN n NOT BETWEEN 4 AND 7 THEN 'total' END) AS issues
+        FROM (SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS p, count(*) AS n FROM lineitem GROUP BY l_orderkey)""",
+    "criterion_checks": """
+        SELECT l_orderkey, count(*) FILTER (length('c' || CAST(l_suppkey AS VARCHAR)) >= 3 AND w BETWEEN -10 AND 10 AND w <> 0 AND (w > 0) = (l_returnflag <> 'R')) AS valid, count(*) AS total
+        FROM (SELECT *, l_partkey % 25 - 12 AS w FROM lineitem) GROUP BY l_orderkey""",
+    "history_text": "SELECT conv_id, string_agg('- Q: ' || text, '|' ORDER BY turn) AS history FROM conversations WHERE role = 'user' GROUP BY conv_id",
+    "failure_history": f"""
+        WITH b AS (SELECT conv_id, {_MODE} AS m, string_agg('- Q: ' || text || chr(10) || '  turn=' || CAST(turn AS VARCHAR), chr(10) ORDER BY turn) AS l FROM conversations GROUP BY 1, 2)
+        SELECT conv_id, 'PREVIOUSLY FAILED QUESTIONS, grouped by failure mode:' || chr(10) || chr(10) || string_agg(
+                   CASE m WHEN 0 THEN 'TOO EASY (the weak solver scored too high)' WHEN 1 THEN 'FAILED ON STRONG (the strong solver did not clear the bar)'
+                          ELSE 'FAILED QV (rejected by the quality verifier)' END || ':' || chr(10) || l, chr(10) || chr(10) ORDER BY m) AS history FROM b GROUP BY conv_id""",
+    "html_title": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages",
+    "listing_ids": "SELECT page_id, CAST(page_id % 7 AS VARCHAR) || '.' || CAST(page_id AS VARCHAR) AS file_id FROM pages",
+    "boltzmann_weights": """
+        WITH m AS (SELECT p_brand, avg(p_retailprice) / 1000 AS s FROM part GROUP BY p_brand), w AS (SELECT p_brand, exp((s - max(s) OVER ()) / CAST(0.1 AS DOUBLE)) AS w FROM m)
+        SELECT p_brand, round(w / sum(w) OVER (), 6) AS p, round(sum(w) OVER (ORDER BY p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(w) OVER (), 6) AS cum FROM w""",
+    "first_tie_argmax": """
+        SELECT l_orderkey, arg_max(l_linenumber, row(l_discount, -l_linenumber, -l_partkey, -l_suppkey)) AS best,
+               arg_min(l_linenumber, row(l_discount, l_linenumber, l_partkey, l_suppkey)) AS worst FROM lineitem GROUP BY l_orderkey""",
+    "best_variant": "SELECT p_brand, CAST(max(p_size) AS DOUBLE) AS m FROM part GROUP BY p_brand ORDER BY m DESC, p_brand LIMIT 1",
+    "sample_replication": "SELECT vec_id, CAST(s AS INTEGER) AS sample FROM embeddings, range(3) r(s)",
+    "running_parent_mean": "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS mean_so_far FROM orders",
+    "accepted_children": """
+        SELECT o_custkey, count(*) AS accepted FROM (SELECT o_custkey, o_totalprice AS t, avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM orders)
+        WHERE t > m + CAST(1e-6 AS DOUBLE) GROUP BY 1""",
+    "papers_without_verdict": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
+    "papers_with_verdict": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "reward_lookup": f"""
+        SELECT p_partkey, p_brand, round(avg(CASE WHEN l_returnflag <> 'R' THEN {_SCORES} END), 6) AS reward, count(*) FILTER (l_returnflag <> 'R') AS graded, count(*) AS completions
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
+    "last_30_log": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 30",
+    "run_summary": f"""
+        WITH d AS (SELECT user_id, bool_or(event_type = 'purchase') AS a, bool_or(event_type = 'purchase' AND value > 100) AS f FROM events GROUP BY user_id),
+        x AS (SELECT count(*) AS papers, count(*) FILTER (a) AS accepted, count(*) FILTER (f) AS final FROM d),
+        r AS (SELECT count(*) AS rounds, coalesce(sum({_K}), 0) AS wn, coalesce(sum(least({_K}, 2)), 0) AS wc FROM events WHERE event_type <> 'error')
+        SELECT papers, accepted, final, round(CAST(accepted AS DOUBLE) / greatest(papers, 1), 6) AS accept_yield, round(CAST(final AS DOUBLE) / greatest(papers, 1), 6) AS final_yield,
+               rounds, round(CAST(wc AS DOUBLE) / greatest(wn, 1), 6) AS weak_truncation_rate, CAST(0 AS DOUBLE) AS strong_truncation_rate FROM x, r""",
+    "judge_normalise": """
+        SELECT event_id, CASE WHEN v BETWEEN CAST(-0.25 AS DOUBLE) AND CAST(1.25 AS DOUBLE) THEN round(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), v)), 6) END AS score
+        FROM (SELECT event_id, round(value / 100 - CAST(0.5 AS DOUBLE), 4) AS v FROM events)""",
+    "answer_text": f"""
+        SELECT conv_id, turn, CASE WHEN role = 'user' THEN '' ELSE {_STRIP.format('text')} END AS answer, role <> 'user' AS finished FROM conversations""",
+    "error_taxonomy": """
+        SELECT CASE event_id % 6 WHEN 0 THEN 'context_length' WHEN 1 THEN 'auth' WHEN 5 THEN 'other' ELSE 'transient' END AS error_class, count(*) AS n FROM events GROUP BY 1""",
+    "extract_json": "SELECT conv_id, turn, turn AS found_turn, 2 AS n_tags FROM conversations",
+}
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        rubric_score, rubric_score_arrays, outcome_counts, gate_reasons, mean_best_at_k, plain_averages, usage_by_role, session_score, stopped_sessions, dedupe_questions,
+        split_by_paper, split_train_val, split_manifest, length_window_sha, snippet_300, clip_answer, blank_questions, verdict_gate, rubric_shape_issues, criterion_checks,
+        history_text, failure_history, html_title, listing_ids, boltzmann_weights, first_tie_argmax, best_variant, sample_replication, running_parent_mean, accepted_children,
+        papers_without_verdict, papers_with_verdict, reward_lookup, last_30_log, run_summary, judge_normalise, answer_text, error_taxonomy, html_to_markdown, extract_json,
+        inner_loop_scripted,
+    )
+}
