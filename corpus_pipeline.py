@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillforge.llm import dedup, language, packing, private
-from quillforge.llm.common import Scratch
+from quillforge.llm.common import Scratch, bound_batches
 from quillforge.llm.queries import tokenizer_path
 from quillforge.shipping import ship
 
@@ -20,15 +20,20 @@ from quillforge.shipping import ship
 LEAST_SCORE = 0.2
 
 
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    bound_batches(spark)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without letters, or far from every learned language, go."""
-    ship(spark)
+    _ready(spark)
     return language.keep_identified(docs, LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: the one with the least doc_id."""
-    ship(spark)
+    _ready(spark)
     return dedup.drop_near_duplicates(docs)
 
 
@@ -39,7 +44,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens."""
-    ship(spark)
+    _ready(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -108,39 +108,56 @@ def _sketch(members: DataFrame) -> np.ndarray:
 
 
 def _prefixes(members: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """token, node, n, comp for each of the first shingles of each member, rare ones first."""
+    """token, at, node, n, comp, short for the first shingles of each member, rare ones first.
+
+    A set's first ``n - ceil(p n) + 1`` shingles meet larger sets' ``short`` ones, which are the first
+    ``n - ceil(2 p n / (1 + p)) + 1`` only: a partner that is no smaller must share more of the set. So
+    the common part of documents that aren't linked isn't among the short ones.
+    """
     shared = members.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens, take = [], []
-            for i, x in enumerate(b.column(2)):
-                values = np.frombuffer(x.as_buffer(), "<u8")
-                n = len(values)
-                first = n - -(-percent * n // 100) + 1
-                often = shared.value[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                tokens.append(values[np.lexsort((values, often))[:first]])
-                take += [i] * len(tokens[-1])
-            take = pa.array(take, pa.int64())
-            token = np.concatenate(tokens).astype(np.int64) if tokens else np.empty(0, np.int64)
-            size = pa.array([len(x.as_buffer()) // 8 for x in b.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(token), b.column(0).take(take), size.take(take), b.column(1).take(take)], names=["token", "node", "n", "comp"])
-
-    return members.select("node", "comp", "set").mapInArrow(run, "token long, node binary, n long, comp binary")
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                b = batch.slice(start, 1000)
+                tokens, at, take, sizes, short = [], [], [], [], []
+                for i, x in enumerate(b.column(2)):
+                    values = np.frombuffer(x.as_buffer(), "<u8")
+                    n = len(values)
+                    first, few = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                    often = shared.value[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    tokens.append(values[np.lexsort((values, often))[:first]])
+                    at.append(np.arange(first))
+                    short.append(np.arange(first) < few)
+                    take.append(np.full(first, i))
+                    sizes.append(np.full(first, n))
+                take = pa.array(np.concatenate(take))
+                arrays = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(at)), b.column(0).take(take), pa.array(np.concatenate(sizes)), b.column(1).take(take), pa.array(np.concatenate(short))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "at", "node", "n", "comp", "short"])
+
+    return members.select("node", "comp", "set").mapInArrow(run, "token long, at long, node binary, n long, comp binary, short boolean")
 
 
 def _across(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that share a token.
+    """Pairs of nodes of different components that share a token, the smaller set by its short prefix.
 
     A row meets each other component of its token once, then that component's rows of the token. So
-    a token of one large component and a few strangers makes as many pairs as it has rows.
+    a token of one large component and a few strangers makes as many pairs as it has rows. A pair
+    whose shingles from the shared one on can't reach the similarity is left out: through its first
+    shared shingle a linked pair always comes.
     """
-    mixed = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("token")
+    mixed = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.bool_or("short").alias("s")).where("f > 1 and s").select("token")
     rows = scratch.save(rows.join(mixed, "token"))
-    groups = rows.select("token", "comp").distinct().select("token", F.col("comp").alias("other"))
-    meets = rows.join(groups, "token").where("comp < other").select("token", F.col("node").alias("a"), F.col("n").alias("na"), "other")
-    there = rows.select("token", F.col("comp").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    return meets.join(there, ["token", "other"]).where(_alike("na", "nb", percent)).select("a", "b").distinct()
+    least = lambda n, at, other: (n - at) * (100 + percent) >= (n + other) * percent
+    smallest = F.ceil(F.col("n") * percent / 100)
+    short = rows.where("short")
+    groups = short.groupBy("token", F.col("comp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    meets = rows.join(groups, "token").where((F.col("comp") != F.col("other")) & (F.col("low") <= F.col("n")) & (F.col("high") >= smallest))
+    meets = meets.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), "other")
+    there = short.select("token", F.col("comp").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    fits = (F.col("nb") <= F.col("na")) & _alike("na", "nb", percent) & least(F.col("na"), F.col("pa"), F.col("nb")) & least(F.col("nb"), F.col("pb"), F.col("na"))
+    pairs = meets.join(there, ["token", "other"]).where(fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
@@ -154,10 +171,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    signed = scratch.save(signatures(docs, words))
+    keyed = scratch.save(signatures(docs, words))
+    signed = scratch.save(keyed.select("doc_id", "n", "node"))
     nodes = scratch.save(
-        signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+        keyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
     )
+    scratch.drop(keyed)
     # Buckets carry the fingerprint's first seven bytes: where two nodes share them, both come back.
     short = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")
     rows = nodes.select(F.explode("keys").alias("key"), short.alias("short"))

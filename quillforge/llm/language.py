@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: N-grams of a language's and of a document's profile.
 PROFILE, DOC_PROFILE = 400, 300
 #: Text (in code points) whose n-grams a training task counts at once, and n-grams it holds before it hands them on.
-RUN_CHARS, HOLD = 500_000, 400_000
+RUN_CHARS, HOLD = 250_000, 300_000
 #: The collected profiles hold PROFILE rows a language; beyond so many languages training refuses.
 MOST_LANGUAGES = 1000
 

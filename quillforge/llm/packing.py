@@ -9,10 +9,11 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ MAX_PIECE = 512
 #: Tokens a window that a block aims to leave free, so that near-equal windows fit.
 SLACK = 12
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -82,7 +83,7 @@ class WordIds:
             if len(self.units) >= self.most:
                 self.units.clear()
             tokens = self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))
-            got = self.units[unit] = np.array([t.id for t in tokens], "<u4").tobytes()
+            got = self.units[unit] = array("I", [t.id for t in tokens]).tobytes()
         return got
 
     def _learn(self, words: Iterable[str]) -> None:
@@ -95,7 +96,20 @@ class WordIds:
         for i in range(0, len(other), 1024):
             some = other[i : i + 1024]
             for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+                self.known[word] = array("I", got.ids).tobytes()
+
+
+_CODERS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's coder for a tokenizer; its cache serves all tasks of the worker."""
+    if sys.byteorder != "little":
+        raise RuntimeError("ids are written as the machine has them, which must be little-endian")
+    if path not in _CODERS:
+        _CODERS.clear()
+        _CODERS[path] = WordIds(path)
+    return _CODERS[path]
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -190,7 +204,7 @@ def pack_documents(
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = WordIds(tokenizer_path), Packer(capacity)
+        encode, packer = word_ids(tokenizer_path), Packer(capacity)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         out: list[list] = [[] for _ in range(8)]
 

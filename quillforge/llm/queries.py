@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 from . import audio, chat, dedup, language, licenses, packing, pieces, private, topk, warc
+from .common import bound_batches
 
 
 def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,7 @@ def tokenizer_path(name: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bins of one signature, taken as BANDS bands of ROWS bins. A pair at similarity 0.8 shares no band
-#: with probability (1 - 0.8 ** 5) ** 40 = 1.3e-7.
-BANDS, ROWS = 40, 5
+#: with probability (1 - 0.8 ** 8) ** 80 = 4e-7; one at 0.5 shares 0.3 bands, one at 0.3 0.005.
+BANDS, ROWS = 80, 8
 BINS = BANDS * ROWS
 
 _rng = np.random.default_rng(20_240_611)
@@ -99,8 +99,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
             yield total[:0]
 
 
-_TRIES = 64
-_ORDER = np.empty((BINS, _TRIES), np.int64)  # where bin i looks for a value on its t-th try: fixed for all sets
+_TRIES, _AT_ONCE = 256, 16
+_ORDER = np.empty((BINS, _TRIES), np.int16)  # where bin i looks for a value on its t-th try: fixed for all sets
 for _t in range(_TRIES):
     _ORDER[:, _t] = mix(np.arange(BINS, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(_t * 7_919 + 1)) % np.uint64(BINS)
 _BAND_PLACE = _rng.integers(1, 2**63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,13 +123,20 @@ def bands(values: np.ndarray) -> np.ndarray:
     full[at[first].astype(np.int64)] = True
     if not full.all():
         empty = np.flatnonzero(~full)
-        found = full[_ORDER[empty]]
-        pick = found.argmax(axis=1)
-        source = _ORDER[empty, pick]
-        none = ~found.any(axis=1)  # all tries failed: the next full bin
-        if none.any():
+        source = np.full(len(empty), -1)
+        left = np.arange(len(empty))
+        for t in range(0, _TRIES, _AT_ONCE):
+            tried = _ORDER[empty[left], t : t + _AT_ONCE]
+            hit = full[tried]
+            pick = hit.argmax(axis=1)
+            done = hit[np.arange(len(left)), pick]
+            source[left[done]] = tried[done, pick[done]]
+            left = left[~done]
+            if not len(left):
+                break
+        if len(left):  # all tries failed: the next full bin
             filled = np.flatnonzero(full)
-            source[none] = filled[np.searchsorted(filled, empty[none]) % len(filled)]
+            source[left] = filled[np.searchsorted(filled, empty[left]) % len(filled)]
         bins[empty] = bins[source]
     rows = bins.reshape(BANDS, ROWS)
     return mix((rows * _BAND_PLACE).sum(axis=1, dtype=np.uint64) ^ _BAND)
