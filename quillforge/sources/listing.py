@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
@@ -54,6 +56,28 @@ class ListingSource(DataSource):
         return ListingReader(dict(self.options))
 
 
+def fetch_pages(listed: DataFrame, base_url: str, wait_s: float = 3.0) -> DataFrame:
+    """listing_id and html of each listed entry; a page that isn't answered with 200 is left out.
+
+    One request every ``wait_s`` seconds a task: callers bound the load by the number of partitions.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for listing in b["listing_id"]:
+                try:
+                    with urlopen(f"{base_url}{listing}", timeout=60) as r:
+                        if r.status == 200:
+                            rows.append((listing, r.read().decode("utf-8", "replace")))
+                except OSError:
+                    pass
+                time.sleep(wait_s)
+            yield pd.DataFrame(rows, columns=["listing_id", "html"])
+
+    return listed.select("listing_id").mapInPandas(run, "listing_id string, html string")
+
+
 def build_corpus(listed: DataFrame, pages: DataFrame, existing: DataFrame, n: int, max_scan: int, shortest: int = 20_000, longest: int = 200_000) -> DataFrame:
     """Papers kept from a listing: paper_id, title, text, chars, sha12.
 
@@ -68,4 +92,4 @@ def build_corpus(listed: DataFrame, pages: DataFrame, existing: DataFrame, n: in
     return kept.select("paper_id", "title", "text", F.length("text").alias("chars"), sha12(F.col("text")).alias("sha12"))
 
 
-__all__ = ["ListingSource", "build_corpus", "entries", "listing_id"]
+__all__ = ["ListingSource", "build_corpus", "entries", "fetch_pages", "listing_id"]

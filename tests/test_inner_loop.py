@@ -108,3 +108,45 @@ def test_only_transient_errors_are_tried_again():
     assert calls.call_once(bad, "r", "s", "u", 0, waits.append)["error_class"] == "auth" and bad.calls == 1
     down = Backend("transient", 9)
     assert calls.call_once(down, "r", "s", "u", 0, waits.append)["error_class"] == "transient" and down.calls == 4
+
+
+def test_rewards(spark):
+    from quillforge.operators import rewards
+
+    criteria = "array<struct<criterion:string,weight:int,category:string>>"
+    qas = spark.createDataFrame([("q0", "ctx", "Q?", [(c["criterion"], c["weight"], c["category"]) for c in RUBRIC])], f"qa_id string, context string, question string, criteria {criteria}")
+    rows = [(1, "q0", "<think>x</think> good"), (2, "q0", "<think>never ends"), (3, "q0", "<think></think> odd")]
+    done = spark.createDataFrame(rows, "completion_id int, qa_id string, completion string")
+
+    def judge(role, system, user, attempt):
+        assert "never ends" not in user
+        return "garbage" if "odd" in user else json.dumps({"per_criterion": [1] * 7 + [0] * 3})
+
+    got = {r.completion_id: r.reward for r in rewards.rewards(done, qas, calls.FunctionModels(judge), True).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: None}
+    prompts = rewards.chat_prompts(qas.drop("qa_id"), "sys", F.col("question"), ["question"]).first()
+    assert prompts.qa_id == "q0" and [m.role for m in prompts.prompt] == ["system", "user"]
+
+
+def test_digest(spark):
+    from quillforge.operators import digest
+
+    rows = [("p", 0, "Q?", "too_easy", 0.7, None, ["weak_avg"]), ("p", 1, None, "error", None, None, None)]
+    df = spark.createDataFrame(rows, "paper_id string, iteration int, question string, outcome string, wa double, sa double, reasons array<string>")
+    rendered = digest.render_round(F.col("question"), F.col("outcome"), F.col("wa"), F.col("sa"), F.col("reasons"))
+    got = digest.render_sessions(df, ["paper_id"], "iteration", rendered).first().digest
+    assert got == "## round 0\noutcome: too_easy  weak_avg=0.70  strong_avg=-\nreasons: weak_avg\nquestion: Q?\n\n## round 1\noutcome: error"
+    nested = spark.createDataFrame([("p", [("a", 1), ("b", 2)], [([0.1, 0.2],), ([0.3],)])], "paper_id string, c array<struct<criterion:string,weight:int>>, s array<struct<per_criterion:array<double>>>")
+    assert [(r.criterion, r.scores) for r in digest.criterion_scores(nested, "c", "s", ["paper_id"]).orderBy("k").collect()] == [("a", [0.1, 0.3]), ("b", [0.2, None])]
+
+
+def test_http_requests():
+    from quillforge.plans.config import Role
+    from quillforge.sources import http_models
+
+    models = http_models.HttpModels("http://x", {"judge": Role("m", thinking=True), "weak_solver": Role("n", reasoning_effort="none")}, extra={"judge": {"top_k": 20}})
+    body = models.request("judge", "s", "u")
+    assert body["chat_template_kwargs"] == {"enable_thinking": True} and body["top_k"] == 20 and [m["content"] for m in body["messages"]] == ["s", "u"]
+    assert models.request("weak_solver", "s", "u")["reasoning_effort"] == "none"
+    kinds = [http_models.classify(400, "maximum context length"), http_models.classify(401, ""), http_models.classify(503, ""), http_models.classify(404, "")]
+    assert kinds == ["context_length", "auth", "transient", "other"]
