@@ -91,8 +91,8 @@ def _join_spans(spans: Column) -> Column:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """digest (of the text), entity, before, after: the places of protected entities; docs has text and base."""
-    place = docs.where(F.size("base") > 0).select(F.sha1(F.col("text").cast("binary")).alias("digest"), "text", F.explode("base").alias("s"))
+    """digest (of the text), entity, before, after: the places of protected entities; docs has text and __base."""
+    place = docs.where(F.size("__base") > 0).select(F.sha1(F.col("text").cast("binary")).alias("digest"), "text", F.explode("__base").alias("s"))
     start, end = F.col("s.start"), F.col("s.end")
     return place.select(
         "digest",
@@ -126,35 +126,37 @@ def revealing_terms(places: DataFrame) -> DataFrame:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with text as a string that isn't null, base and spans (base and terms), each sorted.
+    """``docs`` with text as a string that isn't null, __base and __spans (base and terms), each sorted.
+
+    Columns of its own start with two underscores; all others pass through.
 
     Only texts that hold an entity which some term reveals are looked up; the table of these texts is
     written, counted, and broadcast only when small. Copies of a text are one row of it.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    based = docs.withColumn("base", base_spans(F.col("text")))
-    places = scratch.save(contexts(based.select("text", "base")))
+    based = docs.withColumn("__base", base_spans(F.col("text")))
+    places = scratch.save(contexts(based.select("text", "__base")))
     terms = scratch.save(revealing_terms(places))
     holds = places.select("digest", "entity").distinct().join(terms, "entity")
     worst = holds.groupBy("digest", "term").agg(F.max("share").alias("share"))
     listed = worst.groupBy("digest").agg(
-        F.sort_array(F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term")))).alias("removed"),
-        F.sort_array(F.collect_list(F.when(F.col("share") < REMOVE, F.col("term")))).alias("generalised"),
+        F.sort_array(F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term")))).alias("__removed"),
+        F.sort_array(F.collect_list(F.when(F.col("share") < REMOVE, F.col("term")))).alias("__generalised"),
     )
     listed = scratch.save(listed.withColumnRenamed("digest", "__digest"))
     few = listed.count()
     if not few:
-        return based.withColumn("spans", F.col("base"))
-    joined = based.withColumn("__key", F.when(F.size("base") > 0, F.sha1(F.col("text").cast("binary"))))
+        return based.withColumn("__spans", F.col("__base"))
+    joined = based.withColumn("__key", F.when(F.size("__base") > 0, F.sha1(F.col("text").cast("binary"))))
     joined = joined.join(F.broadcast(listed) if few <= BROADCAST_ROWS else listed, F.col("__key") == F.col("__digest"), "left")
     extra = []
-    for column, kind, no in (("removed", "term", 4), ("generalised", "name", 5)):
+    for column, kind, no in (("__removed", "term", 4), ("__generalised", "name", 5)):
         pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(column, "|"), F.lit(r")(?![\p{L}\p{N}])"))
         extra.append(F.when(F.size(column) > 0, _places(F.col("text"), pattern, F.lit(kind), no)).otherwise(F.expr(f"cast(array() as {_SPAN})")))
-    free = F.filter(F.concat(*extra), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
-    spans = F.when(F.col("__digest").isNotNull(), F.array_sort(F.concat(F.col("base"), free))).otherwise(F.col("base"))
-    return joined.withColumn("spans", spans).drop("__key", "__digest", "removed", "generalised")
+    free = F.filter(F.concat(*extra), lambda t: ~F.exists("__base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
+    spans = F.when(F.col("__digest").isNotNull(), F.array_sort(F.concat(F.col("__base"), free))).otherwise(F.col("__base"))
+    return joined.withColumn("__spans", spans).drop("__key", "__digest", "__removed", "__generalised")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -165,8 +167,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     Of a text with k places of a kind, listing them takes k times k / 2 copied numbers.
     """
     found = find_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(_join_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"), _join_spans(F.col("spans")).alias("spans"))
+    count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(_join_spans(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _join_spans(F.col("__spans")).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -178,7 +180,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     found = find_spans(docs.withColumn("__null", F.col("text").isNull()))
     apart = F.aggregate(
-        "spans",
+        "__spans",
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<a:int,b:int,e:int,kind:string>>)").alias("list")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -189,7 +191,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
         ),
     )
     label = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    done = found.withColumn("__apart", F.when(F.size("spans") > 0, apart))
+    done = found.withColumn("__apart", F.when(F.size("__spans") > 0, apart))
     parts = F.transform("__apart.list", lambda p: F.concat(F.col("text").substr(p["a"] + 1, p["b"] - p["a"]), label[p["kind"]]))
     tail = F.col("text").substr(F.col("__apart.at") + 1, F.length("text"))
     text = F.when(F.col("__null"), F.lit(None).cast("string")).when(F.col("__apart").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), tail))
