@@ -24,6 +24,9 @@ from . import shingles
 from .common import RUN_BYTES, Scratch, runs, utf8_view
 from .components import components
 
+#: Candidate doc_ids are broadcast up to this many (8 bytes each, about 32 MB in a hash table), and beyond it
+#: the texts are joined by shuffle, once.
+BROADCAST_IDS = 1_000_000
 #: Counters of the sketch that orders shingles by frequency; its size doesn't depend on the input.
 SKETCH_BITS = 18
 
@@ -52,8 +55,11 @@ def signatures(docs: DataFrame, words: int = 4) -> DataFrame:
     )
 
 
-def node_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node and its set (sorted little-endian uint64) for the documents whose doc_ids are wanted."""
+def node_sets(docs: DataFrame, wanted: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """node and its set (sorted little-endian uint64) for the documents whose doc_ids are wanted.
+
+    The doc_ids are written and counted, and broadcast only when few.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -63,7 +69,9 @@ def node_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     nowhere = F.lit(-(2**63))  # stands for a null doc_id
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), nowhere).alias("key"), F.col("text").cast("string").alias("text"))
-    keys = wanted.select(F.coalesce("doc_id", nowhere).alias("key")).distinct()
+    keys = scratch.save(wanted.select(F.coalesce("doc_id", nowhere).alias("key")).distinct())
+    if keys.count() <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
     return docs.join(keys, "key", "left_semi").select("text").mapInArrow(run, "node binary, set binary")
 
 
@@ -182,7 +190,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     rows = nodes.select(F.explode("keys").alias("key"), short.alias("short"))
     busy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("key")
     buckets = scratch.save(rows.join(busy, "key").join(nodes.select(short.alias("short"), "node", "n", "doc_id"), "short").select("key", "node", "n", "doc_id"))
-    sets = scratch.save(node_sets(docs, buckets, words).join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    sets = scratch.save(node_sets(docs, buckets, words, scratch).join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
 
     centres = scratch.save(buckets.groupBy("key").agg(F.min_by(F.struct("node", "n"), "node").alias("c")).select("key", F.col("c.node").alias("a"), F.col("c.n").alias("na")))
     stars = buckets.join(centres, "key").where((F.col("node") != F.col("a")) & _alike("n", "na", percent)).select("a", F.col("node").alias("b")).distinct()
