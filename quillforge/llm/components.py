@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # Written first: a join of two plain shuffles is one whose hot side can be split.
+    least = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = scratch.save(down.groupBy("a").agg(F.min("b").alias("m")))
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
     return moved.union(least.select("a", F.col("m").alias("b")))
 
@@ -33,7 +34,9 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         if seen == before or not seen[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = seen
-        after = scratch.save(_small_star(_large_star(edges).distinct()).distinct())
+        large = scratch.save(_large_star(edges, scratch).distinct())
+        after = scratch.save(_small_star(large, scratch).distinct())
+        scratch.drop(large)
         scratch.drop(edges)
         edges = after
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
