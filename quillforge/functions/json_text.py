@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
+# Fixed value: what counts as a fenced block of JSON.
 _FENCED = re.compile(r"```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```", re.DOTALL)
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]]', re.DOTALL)
 _OPENER = re.compile(r"[{\[]")

@@ -1,4 +1,3 @@
-import duckdb  # noqa: F401
 import pytest
 
 from quillforge.plans import catalog
