@@ -38,16 +38,19 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables that cut lineage: lost executors re-read files, nothing is recomputed."""
+    """Written tables that cut lineage: lost executors re-read files, nothing is recomputed.
+
+    Results read them lazily, so they stay when an operator returns; the folder belongs to whoever owns
+    the checkpoint folder.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, scratch_dir(spark), 0
 
-    def save(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
@@ -82,9 +85,3 @@ def runs(offsets: np.ndarray, most: int = RUN_BYTES) -> Iterator[tuple[int, int]
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = j
-
-
-def texts(column: pa.Array) -> Iterator[bytes]:
-    """Each row's bytes; null is empty."""
-    for value in column.cast(pa.large_binary()) if pa.types.is_string(column.type) else column:
-        yield value.as_py() or b""
