@@ -219,10 +219,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group, all its columns kept; rows that repeat the kept doc_id are one as well."""
+    """``docs`` with one row of each group, all its columns kept; rows that repeat the kept doc_id are one as well.
+
+    The doc_ids that go are written and counted, and broadcast only when few; else texts are joined by shuffle.
+    """
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(near_duplicates(docs, words, percent))
-    out = docs.join(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = scratch.save(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    out = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
     if found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").first() is not None:
         blank = out.where(F.coalesce(F.trim("text"), F.lit("")) == "")
         out = out.where(F.coalesce(F.trim("text"), F.lit("")) != "").dropDuplicates(["doc_id"]).union(blank)
