@@ -4,11 +4,13 @@ Everything is built-in functions. A pattern's places come from splitting the tex
 pieces between and the matches themselves add up to code-point positions.
 
 The information-theoretic part: every detected value is a protected entity. Its contexts are the
-words around its places, equal contexts counted once over the whole corpus (copies of a document
-prove nothing). With n contexts, a term t and an entity e share PMI(t; e) = log2(n_te n / (n_t n_e))
-bits, out of the IC(e) = log2(n / n_e) bits that name e. Where the share PMI / IC reaches
-``GENERALISE`` and the pair was seen in ``SUPPORT`` contexts, the term is generalised in the
-documents that hold e; from ``REMOVE`` on it is removed.
+whole texts that hold it, without the values themselves. Texts where it has the same neighbourhood
+count once (copies of a document prove nothing). With n contexts, a term t and an entity e share
+PMI(t; e) = log2(n_te n / (n_t n_e)) bits, out of the IC(e) = log2(n / n_e) bits that name e. The
+share PMI / IC is smoothed to ``n_te / (n_te + DISCOUNT)`` of itself, so that one sighting never
+reaches ``GENERALISE`` and two do where the term is hardly found elsewhere. From there on the term is
+generalised in the documents that hold e; from ``REMOVE`` on it is removed, and also where the
+``CONTEXT`` code points beside e alone give that share in ``SUPPORT`` contexts.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from .common import Scratch
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "name": "[NAME]"}
 
-#: Contexts of an entity that must hold a term; shares of the entity's information.
+#: Near contexts of an entity that must hold a term; shares of the entity's information.
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
-#: Code points of text on either side of a place that are its context.
+#: Smoothing of a pair's count: one sighting gives at most 0.75 of the share, two 0.86, four 0.92.
+DISCOUNT = 1 / 3
+#: Code points of text on either side of a place that are its neighbourhood.
 CONTEXT = 64
 #: Texts with revealing terms are broadcast up to this many (a digest and its terms, about 200 bytes
 #: each), joined by shuffle beyond.
@@ -38,6 +42,9 @@ _CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){11,}+"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}(?![\p{L}\p{N}])"
+# Terms of whole texts: runs of letters and digits, and the pairs of characters of scripts without spaces.
+_TERM = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]{2,}+"
+_DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 
 
 def _digits(match: Column) -> Column:
@@ -125,6 +132,95 @@ def revealing_terms(places: DataFrame) -> DataFrame:
     return scored.where(F.col("n") > F.col("n_e")).select("entity", "term", (pmi / ic).alias("share")).where(F.col("share") >= GENERALISE)
 
 
+def _digest() -> Column:
+    return F.sha1(F.col("text").cast("binary"))
+
+
+def _apart(spans: Column) -> Column:
+    """at (the end of all spans) and list of (a, b, e, kind): what lies before each span, spans that overlap an earlier one left out."""
+    return F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<a:int,b:int,e:int,kind:string>>)").alias("list")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(
+                (s["start"] >= acc["at"]),
+                F.array_append(acc["list"], F.struct(acc["at"].alias("a"), s["start"].alias("b"), s["end"].alias("e"), s["kind"].alias("kind"))),
+            ).otherwise(acc["list"]).alias("list"),
+        ),
+    )
+
+
+def _terms(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns and ``words``: the distinct terms of each text outside of its protected values."""
+    parts = docs.withColumn("__apart", F.when(F.size("__base") > 0, _apart(F.col("__base"))))
+    before = F.transform("__apart.list", lambda p: F.col("text").substr(p["a"] + 1, p["b"] - p["a"]))
+    outside = F.when(F.col("__apart").isNull(), F.col("text")).otherwise(F.concat(F.array_join(before, " "), F.lit(" "), F.col("text").substr(F.col("__apart.at") + 1, F.length("text"))))
+    parts = parts.withColumn("__outside", outside)
+    found = F.array_distinct(F.regexp_extract_all("__outside", F.lit(_TERM), F.lit(0)))
+    pairs = F.when(F.col("__outside").rlike(_DENSE), F.regexp_extract_all("__outside", F.lit(rf"(?=({_DENSE}{{2}}))"), F.lit(1))).otherwise(F.expr("cast(array() as array<string>)"))
+    return parts.select(*columns, F.array_distinct(F.transform(F.concat(found, pairs), F.lower)).alias("words"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, broadcast only when small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def sighted_pairs(based: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """entity, term, n_te, d_te, n_e, d_e: sightings and texts of pairs that were sighted twice or more, and of their entities.
+
+    Texts where an entity has the same neighbourhood are one sighting of it. An entity of one sighting
+    has no pair that reaches a threshold, so its texts aren't opened.
+    """
+    held = scratch.save(places.groupBy("entity", "digest").agg(F.min(F.sha1(F.concat_ws("\0", "before", "after").cast("binary"))).alias("sight")))
+    often = held.groupBy("entity").agg(F.countDistinct("sight").alias("n_e"), F.count(F.lit(1)).alias("d_e")).where("n_e > 1")
+    known = scratch.save(held.join(often, "entity"))
+    wanted = _few(scratch.save(known.select("digest").distinct()))
+    own = based.where(F.size("__base") > 0).withColumn("digest", _digest()).join(wanted, "digest", "left_semi")
+    words = _terms(own, "digest").groupBy("digest").agg(F.first("words").alias("words"))
+    seen = known.join(words, "digest").select("entity", "n_e", "d_e", "sight", F.explode("words").alias("term"))
+    pairs = seen.groupBy("entity", "term").agg(F.countDistinct("sight").alias("n_te"), F.count(F.lit(1)).alias("d_te"), F.first("n_e").alias("n_e"), F.first("d_e").alias("d_e"))
+    return scratch.save(pairs.where("n_te > 1"))
+
+
+def corpus_counts(based: DataFrame, terms: DataFrame, scratch: Scratch) -> tuple[int, DataFrame]:
+    """The number of distinct texts that are counted, and term, d_t: those that hold each term.
+
+    Only texts with personal data are counted.
+    """
+    based = based.where(F.size("__base") > 0)
+    digests = based.select(_digest().alias("digest"))
+    copies = scratch.save(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    total = digests.select("digest").distinct().count()
+    each = based.withColumn("digest", _digest()).join(_few(copies), "digest", "left").withColumn("part", F.lit(1.0) / F.coalesce("copies", F.lit(1)))
+    seen = _terms(each, "part").select("part", F.explode("words").alias("term"))
+    if terms.count() <= BROADCAST_ROWS:
+        seen = seen.join(F.broadcast(terms), "term", "left_semi")
+    # Copies add up to one text.
+    return total, seen.groupBy("term").agg(F.round(F.sum("part")).alias("d_t")).join(terms, "term", "left_semi")
+
+
+def corpus_terms(based: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """entity, term, share, removed: what exceeds the thresholds, by whole texts."""
+    pairs = sighted_pairs(based, places, scratch)
+    total, held = corpus_counts(based, scratch.save(pairs.select("term").distinct()), scratch)
+    # Texts that are one sighting of the entity count as one of n and n_t as well.
+    n, n_t = F.lit(float(total)) - F.col("d_e") + F.col("n_e"), F.col("d_t") - F.col("d_te") + F.col("n_te")
+    share = F.log2(F.col("n_te") * n / (n_t * F.col("n_e"))) / F.log2(n / F.col("n_e")) * F.col("n_te") / (F.col("n_te") + DISCOUNT)
+    scored = pairs.join(held, "term").where(n > F.col("n_e")).select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    near = revealing_terms(places).select("entity", "term", F.col("share").alias("near"))
+    removed = F.greatest("share", F.coalesce("near", F.lit(0.0))) >= REMOVE
+    return scratch.save(scored.join(near, ["entity", "term"], "left").select("entity", "term", "share", removed.alias("removed")))
+
+
+def _pattern(terms: Column) -> Column:
+    """A regex of the terms: words of their own, and chains of pairs of dense scripts."""
+    dense = F.filter(terms, lambda t: t.rlike(rf"^{_DENSE}{{2}}$"))
+    chain = F.when(F.size(dense) > 0, F.concat(F.lit("(?:(?="), F.array_join(dense, "|"), F.lit(rf"){_DENSE})++{_DENSE}")))
+    return F.concat(F.lit("(?iu)"), F.concat_ws("|", chain, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}])"))))
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with text as a string that isn't null, __base and __spans (base and terms), each sorted.
 
@@ -137,23 +233,22 @@ def find_spans(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     based = docs.withColumn("__base", base_spans(F.col("text")))
     places = scratch.save(contexts(based.select("text", "__base")))
-    terms = scratch.save(revealing_terms(places))
+    terms = corpus_terms(based.select("text", "__base"), places, scratch)
     holds = places.select("digest", "entity").distinct().join(terms, "entity")
-    worst = holds.groupBy("digest", "term").agg(F.max("share").alias("share"))
+    worst = holds.groupBy("digest", "term").agg(F.bool_or("removed").alias("removed"))
     listed = worst.groupBy("digest").agg(
-        F.sort_array(F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term")))).alias("__removed"),
-        F.sort_array(F.collect_list(F.when(F.col("share") < REMOVE, F.col("term")))).alias("__generalised"),
+        F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("term")))).alias("__removed"),
+        F.sort_array(F.collect_list(F.when(~F.col("removed"), F.col("term")))).alias("__generalised"),
     )
     listed = scratch.save(listed.withColumnRenamed("digest", "__digest"))
     few = listed.count()
     if not few:
         return based.withColumn("__spans", F.col("__base"))
-    joined = based.withColumn("__key", F.when(F.size("__base") > 0, F.sha1(F.col("text").cast("binary"))))
+    joined = based.withColumn("__key", F.when(F.size("__base") > 0, _digest()))
     joined = joined.join(F.broadcast(listed) if few <= BROADCAST_ROWS else listed, F.col("__key") == F.col("__digest"), "left")
     extra = []
     for column, kind, no in (("__removed", "term", 4), ("__generalised", "name", 5)):
-        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(column, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        extra.append(F.when(F.size(column) > 0, _places(F.col("text"), pattern, F.lit(kind), no)).otherwise(F.expr(f"cast(array() as {_SPAN})")))
+        extra.append(F.when(F.size(column) > 0, _places(F.col("text"), _pattern(F.col(column)), F.lit(kind), no)).otherwise(F.expr(f"cast(array() as {_SPAN})")))
     free = F.filter(F.concat(*extra), lambda t: ~F.exists("__base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
     spans = F.when(F.col("__digest").isNotNull(), F.array_sort(F.concat(F.col("__base"), free))).otherwise(F.col("__base"))
     return joined.withColumn("__spans", spans).drop("__key", "__digest", "__removed", "__generalised")
@@ -179,19 +274,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     found = find_spans(docs.withColumn("__null", F.col("text").isNull()))
-    apart = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<a:int,b:int,e:int,kind:string>>)").alias("list")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(
-                (s["start"] >= acc["at"]),
-                F.array_append(acc["list"], F.struct(acc["at"].alias("a"), s["start"].alias("b"), s["end"].alias("e"), s["kind"].alias("kind"))),
-            ).otherwise(acc["list"]).alias("list"),
-        ),
-    )
     label = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    done = found.withColumn("__apart", F.when(F.size("__spans") > 0, apart))
+    done = found.withColumn("__apart", F.when(F.size("__spans") > 0, _apart(F.col("__spans"))))
     parts = F.transform("__apart.list", lambda p: F.concat(F.col("text").substr(p["a"] + 1, p["b"] - p["a"]), label[p["kind"]]))
     tail = F.col("text").substr(F.col("__apart.at") + 1, F.length("text"))
     text = F.when(F.col("__null"), F.lit(None).cast("string")).when(F.col("__apart").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), tail))

@@ -484,3 +484,13 @@ def test_revealing_shares_equal_the_formula(spark):
             if n_te >= private.SUPPORT and n > n_e and (share := log2(n_te * n / (n_t * n_e)) / log2(n / n_e)) >= private.GENERALISE:
                 want[e, t] = round(share, 9)
     assert {(r.entity, r.term): round(r.share, 9) for r in private.revealing_terms(places).collect()} == want
+
+
+def test_terms_far_from_the_value_short_ones_and_codes_are_assessed(spark):
+    far = " ".join(["filler"] * 40)
+    rows = [(i, f"{w} Li owns QX7 and 張偉明, {far} {i} mail kari.n@x.org {w}") for i, w in enumerate(("see", "also"))] + [(10 + i, f"filler word{i} see also owns and mail u{i}@x.org") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = {r.doc_id: r.text for r in private.sanitise(df).collect()}
+    for i, w in enumerate(("see", "also")):
+        assert got[i] == f"{w} [NAME] owns [NAME] and [NAME], {far} {i} mail [EMAIL] {w}"
+    assert got[10] == "filler word0 see also owns and mail [EMAIL]"
