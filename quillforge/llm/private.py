@@ -5,7 +5,8 @@ pieces between and the matches themselves add up to code-point positions.
 
 The information-theoretic part: every detected value is a protected entity. Its contexts are the
 whole texts that hold it, without the values themselves. Texts where it has the same neighbourhood
-count once (copies of a document prove nothing). With n contexts, a term t and an entity e share
+count once (copies of a document prove nothing). With n distinct texts in the corpus, with or without
+personal data, n_t of them with the term, a term t and an entity e share
 PMI(t; e) = log2(n_te n / (n_t n_e)) bits, out of the IC(e) = log2(n / n_e) bits that name e. The
 share PMI / IC is smoothed to ``n_te / (n_te + DISCOUNT)`` of itself, so that one sighting never
 reaches ``GENERALISE`` and two do where the term is hardly found elsewhere. From there on the term is
@@ -43,8 +44,9 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}(?![\p{L}\p{N}])"
 # Terms of whole texts: runs of letters and digits, and the pairs of characters of scripts without spaces.
-_TERM = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]{2,}+"
-_DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+_TERM = r"[\p{L}\p{N}]{2,}+"
+# Han and kana by ranges: Java looks a script up character by character.
+_DENSE = r"[\u3005\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{323af}]"
 
 
 def _digits(match: Column) -> Column:
@@ -185,11 +187,10 @@ def sighted_pairs(based: DataFrame, places: DataFrame, scratch: Scratch) -> Data
 
 
 def corpus_counts(based: DataFrame, terms: DataFrame, scratch: Scratch) -> tuple[int, DataFrame]:
-    """The number of distinct texts that are counted, and term, d_t: those that hold each term.
+    """The number of distinct texts of the corpus, and term, d_t: those that hold each term.
 
-    Only texts with personal data are counted.
+    Texts without personal data count like all others.
     """
-    based = based.where(F.size("__base") > 0)
     digests = based.select(_digest().alias("digest"))
     copies = scratch.save(digests.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     total = digests.select("digest").distinct().count()
@@ -204,6 +205,8 @@ def corpus_counts(based: DataFrame, terms: DataFrame, scratch: Scratch) -> tuple
 def corpus_terms(based: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
     """entity, term, share, removed: what exceeds the thresholds, by whole texts."""
     pairs = sighted_pairs(based, places, scratch)
+    if pairs.first() is None:  # the corpus needn't be counted
+        return scratch.spark.createDataFrame([], "entity string, term string, share double, removed boolean")
     total, held = corpus_counts(based, scratch.save(pairs.select("term").distinct()), scratch)
     # Texts that are one sighting of the entity count as one of n and n_t as well.
     n, n_t = F.lit(float(total)) - F.col("d_e") + F.col("n_e"), F.col("d_t") - F.col("d_te") + F.col("n_te")

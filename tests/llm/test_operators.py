@@ -494,3 +494,13 @@ def test_terms_far_from_the_value_short_ones_and_codes_are_assessed(spark):
     for i, w in enumerate(("see", "also")):
         assert got[i] == f"{w} [NAME] owns [NAME] and [NAME], {far} {i} mail [EMAIL] {w}"
     assert got[10] == "filler word0 see also owns and mail [EMAIL]"
+
+
+def test_words_that_are_common_without_personal_data_reveal_nothing(spark):
+    rows = [(i, f"{w} newsletter nordvik list@x.org {w}") for i, w in enumerate(("one", "two", "three", "four"))]
+    rows += [(10 + i, f"the newsletter of place{i}") for i in range(60)] + [(100 + i, "the nordvik copies") for i in range(60)] + [(200, "mail u@x.org")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in private.sanitise(df).collect()}
+    # newsletter stands in 60 other texts, nordvik in one (copies count once).
+    assert got[0] == "one newsletter [TERM] [EMAIL] one"
+    assert got[10] == "the newsletter of place0" and got[100] == "the nordvik copies"
