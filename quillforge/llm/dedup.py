@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shingles
 from .common import RUN_BYTES, Scratch, runs, utf8_view
@@ -178,6 +179,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     doc_id = component_id, true where both are null. Other columns are ignored; an empty table gives
     no rows.
     """
+    found = _grouped(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n, node, root (the group, named by a node), component_id for each row; node and root are null where n is 0."""
     scratch = Scratch(docs.sparkSession)
     keyed = scratch.save(signatures(docs, words))
     signed = scratch.save(keyed.select("doc_id", "n", "node"))
@@ -212,24 +219,49 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     named = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").where("copies > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
     named = scratch.save(named)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    lookup = scratch.save(named.join(least, "root").select("node", "component_id", F.lit(True).alias("grouped")))
+    lookup = scratch.save(named.join(least, "root").select("node", "root", "component_id", F.lit(True).alias("grouped")))
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
-    out = signed.select("doc_id", "n", "node").join(lookup, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return signed.select("doc_id", "n", "node").join(lookup, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"), component.alias("component_id"))
+
+
+def _with_node(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` and ``__node``, the fingerprint of each text's set."""
+    at = docs.columns.index("__text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = pa.array([shingles.fingerprint(v) if len(v) else None for v in _sets(b.column(at), words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, node], names=[*b.schema.names, "__node"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.BinaryType())]))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group, all its columns kept; rows that repeat the kept doc_id are one as well.
+    """``docs`` with one row of each group, all its columns kept; rows without words all stay.
 
-    The doc_ids that go are written and counted, and broadcast only when few; else texts are joined by shuffle.
+    The row of the least doc_id stays, null ones last; of several the one of the least fingerprint, then
+    of the least text. The doc_ids that go are written and counted, and broadcast only when few; else texts
+    are joined by shuffle. Where doc_ids are null or repeated, rows are told apart by their fingerprints.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.save(near_duplicates(docs, words, percent))
-    gone = scratch.save(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    out = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    if found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").first() is not None:
-        blank = out.where(F.coalesce(F.trim("text"), F.lit("")) == "")
-        out = out.where(F.coalesce(F.trim("text"), F.lit("")) != "").dropDuplicates(["doc_id"]).union(blank)
-    return out
+    found = scratch.save(_grouped(docs, words, percent))
+    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("node").isNotNull()).alias("any"))
+    shared = scratch.save(per_id.where("any and (rows > 1 or doc_id is null)").select(F.col("doc_id").alias("__id")))
+    gone = found.where("node is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("__gone"))
+    key = F.col("doc_id").cast("long")
+
+    def lookup(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+    if shared.first() is None:
+        return docs.join(lookup(scratch.save(gone.distinct())), key == F.col("__gone"), "left_anti")
+    ids = lookup(scratch.save(shared.where("__id is not null")))
+    clear = docs.where("doc_id is not null").join(ids, key == F.col("__id"), "left_anti")
+    clear = clear.join(lookup(scratch.save(gone.distinct())), key == F.col("__gone"), "left_anti")
+    doubtful = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").join(ids, key == F.col("__id"), "left_semi"))
+    doubtful = scratch.save(_with_node(doubtful.select(*docs.columns, key.alias("__key"), F.col("text").cast("string").alias("__text")), words))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    first = found.where("node is not null").groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("__first"), F.col("f.node").alias("__of"))
+    stays = doubtful.join(first, F.col("__key").eqNullSafe(F.col("__first")) & (F.col("__node") == F.col("__of")), "left_semi")
+    stays = stays.groupBy("__key", "__node").agg(F.min_by(F.struct(*docs.columns), "__text").alias("row")).select("row.*")
+    return clear.unionByName(stays).unionByName(doubtful.where("__node is null").select(*docs.columns))

@@ -504,3 +504,13 @@ def test_words_that_are_common_without_personal_data_reveal_nothing(spark):
     # newsletter stands in 60 other texts, nordvik in one (copies count once).
     assert got[0] == "one newsletter [TERM] [EMAIL] one"
     assert got[10] == "the newsletter of place0" and got[100] == "the nordvik copies"
+
+
+def test_dropping_decides_by_row_under_null_and_repeated_ids(spark):
+    copy, other, third = "a b c d e f g", "q r s t u v w", "k l m n o p i"
+    rows = [(1, copy), (7, copy), (7, other), (8, copy), (8, ""), (9, third), (9, third), (None, copy), (None, "one two three four five"), (None, "one two three four five"), (None, "six seven eight nine ten"), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("x"))
+    out = dedup.drop_near_duplicates(df)
+    got = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+    assert out.columns == df.columns
+    assert got == sorted((str(d), str(t)) for d, t in [(1, copy), (7, other), (8, ""), (9, third), (None, "one two three four five"), (None, "six seven eight nine ten"), (None, None), (3, "")])
