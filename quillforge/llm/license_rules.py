@@ -55,7 +55,7 @@ PLAIN = """
 60 95 bsd-3-clause | clause bsd | (?:3|three) clause bsd(?: license)?
 60 95 bsd-4-clause | clause bsd | (?:4|four) clause bsd(?: license)?
 60 95 bsd-2-clause | simplified bsd | simplified bsd(?: license)?
-60 95 bsd-3-clause | modified bsd | (?:new|modified|revised) bsd(?: license)?
+60 95 bsd-3-clause | bsd | (?:new|modified|revised) bsd(?: license)?
 60 95 bsd-3-clause | new bsd | new bsd license
 60 95 bsd-4-clause | original bsd | original bsd(?: license)?
 50 80 bsd | bsd license | bsd(?: style)? license
@@ -65,17 +65,17 @@ PLAIN = """
 80 99 bsd-2-clause | spdx bsd | spdx license identifier bsd 2 clause
 80 99 bsd-3-clause | spdx bsd | spdx license identifier bsd 3 clause
 65 95 bsd | redistribution binary forms | redistribution and use in source and binary forms with or without modification are permitted
-66 95 bsd-3-clause | endorse promote products | neither the name of .{1,80}? may be used to endorse or promote products
+66 95 bsd-3-clause | endorse promote products | neither the name of (?:(?!neither the name of ).)+? may be used to endorse or promote products
 66 95 bsd-4-clause | advertising acknowledgement | all advertising materials mentioning features or use of this software must display the following acknowledgement
 60 90 isc | isc license | isc license
 60 90 isc | isc licence | isc licence
 65 95 isc | permission fee purpose | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 80 99 isc | spdx isc | spdx license identifier isc
 60 90 zlib | zlib license | zlib(?: libpng)? license
-65 95 zlib | implied held misrepresented | the origin of this software must not be misrepresented
+65 95 zlib | origin software misrepresented | the origin of this software must not be misrepresented
 60 90 libpng | libpng license | libpng(?: version 2)? license
 60 90 boost-1.0 | boost license | boost software license(?: version)?(?: 1 0)?
-75 99 boost-1.0 | boost license_1_0 | https? www boost org license 1 0 txt
+75 99 boost-1.0 | boost org license | https? www boost org license 1 0 txt
 80 99 boost-1.0 | spdx bsl | spdx license identifier bsl 1 0
 60 90 unlicense | unlicense | (?:the )?unlicense
 65 95 unlicense | unencumbered public domain | this is free and unencumbered software released into the public domain
@@ -93,7 +93,7 @@ PLAIN = """
 60 90 artistic-1.0 | artistic license 1 | artistic license(?: version)? 1(?: 0)?
 60 90 artistic-2.0 | artistic license 2 | artistic license(?: version)? 2(?: 0)?
 50 80 artistic | artistic license | artistic license
-60 90 postgresql | postgresql license | postgresql licen[cs]e
+60 90 postgresql | postgresql | postgresql licen[cs]e
 60 90 python-2.0 | python foundation license | python software foundation license(?: version 2)?
 60 90 psf-2.0 | psf license | psf license(?: version 2)?
 60 90 php-3.01 | php license | php license(?: version)? 3(?: 01)?
@@ -117,8 +117,10 @@ PLAIN = """
 60 90 json | software good evil | the software shall be used for good not evil
 60 90 vim | vim license | vim license
 60 90 tcl | tcl license | tcl tk license
-60 90 beerware | beerware | (?:the )?beer ?ware license
-60 90 bigscience-openrail | openrail | (?:bigscience |bigcode )?open ?rail(?: m)?
+60 90 beerware | beerware license | (?:the )?beerware license
+60 90 beerware | beer ware license | (?:the )?beer ware license
+60 90 bigscience-openrail | openrail | (?:bigscience |bigcode )?openrail(?: m)?
+60 90 bigscience-openrail | open rail | (?:bigscience |bigcode )?open rail(?: m)?
 60 90 llama-community | llama community license | llama(?: 2| 3)? community license(?: agreement)?
 60 90 aladdin | aladdin license | aladdin free public license
 60 90 sleepycat | sleepycat license | sleepycat license
@@ -136,7 +138,7 @@ PLAIN = """
 40 50 research-only | research purposes only | (?:for )?(?:academic )?research purposes only
 30 30 copyright-notice | copyright c | copyright c (?:19|20)[0-9][0-9]
 30 30 copyright-notice | copyright | copyright (?:19|20)[0-9][0-9]
-30 30 warranty-disclaimer | software provided warranty | (?:this )?software is provided (?:by .{1,60}? )?as is
+30 30 warranty-disclaimer | provided software | (?:this )?software is provided (?:by .{1,60}? )?as is
 20 20 license-reference | see license file | see (?:the )?license file
 20 20 license-reference | license terms | under the terms of (?:the|this) license
 20 20 license-reference | licensed under | licensed under the terms

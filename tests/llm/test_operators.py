@@ -514,3 +514,47 @@ def test_dropping_decides_by_row_under_null_and_repeated_ids(spark):
     got = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
     assert out.columns == df.columns
     assert got == sorted((str(d), str(t)) for d, t in [(1, copy), (7, other), (8, ""), (9, third), (None, "one two three four five"), (None, "six seven eight nine ten"), (None, None), (3, "")])
+
+
+def samples(parsed):
+    """Texts that a regex matches: every branch and option once, repeats at their least and one more."""
+    out = [""]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(value)]
+        elif name == "IN":
+            more = [chr(x) for o, x in value if str(o) == "LITERAL"]
+        elif name == "ANY":
+            more = ["x"]
+        elif name == "SUBPATTERN":
+            more = samples(value[-1])
+        elif name == "BRANCH":
+            more = [x for b in value[1] for x in samples(b)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = value
+            more = [x * n for n in {low, min(high, low + 1)} for x in samples(inner)]
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            more = [""]
+        else:
+            raise AssertionError(name)
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_what_a_licence_rule_matches_passes_its_gate():
+    for rule in license_rules.RULES:
+        for text in samples(re._parser.parse(rule.regex.pattern.decode())):
+            words = licenses.fold(text.encode())
+            assert rule.regex.search(b" " + b" ".join(words) + b" "), (rule.label, text)
+            assert rule.gate <= set(words), (rule.label, rule.gate, text)
+
+
+def test_licences_that_gates_or_bounds_hid():
+    labels = lambda t: licenses.scan(t.encode())[5]
+    assert labels("http://www.boost.org/LICENSE_1_0.txt") == "boost-1.0"
+    assert labels('"THE BEER-WARE LICENSE" (Revision 42)') == labels("Beerware License") == "beerware"
+    assert labels("BigScience Open RAIL-M") == labels("OpenRAIL-M") == "bigscience-openrail"
+    holder = "the University of a Very Long Name " * 5 + "nor the names of its contributors"
+    assert labels(f"Neither the name of {holder} may be used to endorse or promote products derived from this software") == "bsd-3-clause"
+    licenses.scan(("neither the name of " * 50_000 + "endorse promote products").encode())  # linear
