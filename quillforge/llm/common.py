@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..checkpoints import base_folder
+
 #: Rows of a batch are handed to numpy in runs of about this many bytes, so that scratch arrays stay small.
 RUN_BYTES = 1 << 20
 
@@ -28,13 +30,19 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared ``spark.checkpoint.dir``.
+    """A new folder below the shared checkpoint folder; see ``checkpoints.base_folder``."""
+    return f"{base_folder(spark)}/qf-{uuid.uuid4().hex}"
 
-    The setting is read from the session. Only where it is unset (tests) a folder below the
-    working directory's warehouse is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/qf-{uuid.uuid4().hex}"
+
+def fresh_names(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names like ``names`` that no column in ``taken`` has, whatever its case."""
+    there, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
 
 
 class Scratch:
@@ -46,6 +54,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, scratch_dir(spark), 0
+        self.there: dict[str, DataFrame] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -53,13 +62,20 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.there[path] = out
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for df in tables:
+            if self.there.pop(df.scratch_path, None) is not None:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Delete all tables but those that the result reads."""
+        kept = {df.scratch_path for df in tables}
+        self.drop(*[df for path, df in self.there.items() if path not in kept])
 
 
 def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,8 @@
 """Near-duplicate groups: one-permutation MinHash, banded buckets, star-shaped candidate edges.
 
 1. Equal shingle sets are one node (a 128-bit fingerprint), so exact copies cost a partial sum each.
-2. Nodes that share a band with others are candidates. In each bucket only the edges from its least
+2. Nodes that share a band with others are candidates; sets of at most 16 shingles, whose few values make
+   bands depend on each other, also share exact prefix keys. In each bucket only the edges from its least
    node are tried (a star), on the full sets.
 3. What a star can't see is a link between two members that both miss the centre. Buckets that still
    hold more than one component after step 2 go through an exact prefix filter: two sets at
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import RUN_BYTES, Scratch, runs, utf8_view
+from .common import RUN_BYTES, Scratch, fresh_names, runs, utf8_view
 from .components import components
 
 #: Candidate doc_ids are broadcast up to this many (8 bytes each, about 32 MB in a hash table), and beyond it
@@ -38,8 +39,8 @@ def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield from shingles.shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
 
 
-def signatures(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, n (size of the set), node (its fingerprint), keys (its bands); the last two are null where n is 0."""
+def signatures(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n (size of the set), node (its fingerprint), keys (its bands and, for small sets, its exact keys); the last two are null where n is 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -47,7 +48,7 @@ def signatures(docs: DataFrame, words: int = 4) -> DataFrame:
             for values in _sets(b.column(1), words):
                 n.append(len(values))
                 node.append(shingles.fingerprint(values) if len(values) else None)
-                keys.append(shingles.bands(values).astype(np.int64) if len(values) else None)
+                keys.append(np.concatenate((shingles.bands(values), shingles.exact_keys(values, percent))).astype(np.int64) if len(values) else None)
             arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "node", "keys"])
 
@@ -172,7 +173,7 @@ def _across(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
-    Two documents are linked when 100 * intersection >= percent * union of their shingle sets;
+    The default of four words is op1's contract; ``drop_near_duplicates`` takes five. Two documents are linked when 100 * intersection >= percent * union of their shingle sets;
     component_id is the least doc_id that links reach. Texts without words (null and empty ones too)
     are linked with nothing. Rows that repeat a doc_id are each compared by their own text. A null
     doc_id takes part in links but names no component unless all its doc_ids are null; ``kept`` is
@@ -186,7 +187,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n, node, root (the group, named by a node), component_id for each row; node and root are null where n is 0."""
     scratch = Scratch(docs.sparkSession)
-    keyed = scratch.save(signatures(docs, words))
+    keyed = scratch.save(signatures(docs, words, percent))
     signed = scratch.save(keyed.select("doc_id", "n", "node"))
     nodes = scratch.save(
         keyed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
@@ -220,48 +221,61 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     named = scratch.save(named)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     lookup = scratch.save(named.join(least, "root").select("node", "root", "component_id", F.lit(True).alias("grouped")))
+    scratch.drop_all_but(signed, lookup)
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
     return signed.select("doc_id", "n", "node").join(lookup, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"), component.alias("component_id"))
 
 
-def _with_node(docs: DataFrame, words: int) -> DataFrame:
-    """``docs`` and ``__node``, the fingerprint of each text's set."""
-    at = docs.columns.index("__text")
+def _with_node(docs: DataFrame, text: str, name: str, words: int) -> DataFrame:
+    """``docs`` and ``name``, the fingerprint of each text's set (null without words)."""
+    at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node = pa.array([shingles.fingerprint(v) if len(v) else None for v in _sets(b.column(at), words)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, node], names=[*b.schema.names, "__node"])
+            yield pa.RecordBatch.from_arrays([*b.columns, node], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group, all its columns kept; rows without words all stay.
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group, all its columns kept; a row goes only where another one of its group stays.
 
     The row of the least doc_id stays, null ones last; of several the one of the least fingerprint, then
-    of the least text. The doc_ids that go are written and counted, and broadcast only when few; else texts
-    are joined by shuffle. Where doc_ids are null or repeated, rows are told apart by their fingerprints.
+    of the least text, then of the least other columns. Texts without words (null, empty, white space) are
+    in no group: all stay, repeated ones too. The doc_ids that go are written and counted, and broadcast
+    only when few; else texts are joined by shuffle. Where doc_ids are null or repeated, rows are told
+    apart by their fingerprints. Other columns may have any name; an empty table gives no rows.
     """
+    id_, gone_, first_, of_, key_, text_, node_ = fresh_names(docs.columns, "__id", "__gone", "__first", "__of", "__key", "__text", "__node")
     scratch = Scratch(docs.sparkSession)
-    found = scratch.save(_grouped(docs, words, percent))
+    found = scratch.save(_grouped(docs.select("doc_id", "text"), words, percent))
     per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("node").isNotNull()).alias("any"))
-    shared = scratch.save(per_id.where("any and (rows > 1 or doc_id is null)").select(F.col("doc_id").alias("__id")))
-    gone = found.where("node is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("__gone"))
+    shared = scratch.save(per_id.where("any and (rows > 1 or doc_id is null)").select(F.col("doc_id").alias(id_)))
+    gone = found.where("node is not null and not doc_id <=> component_id").select(F.col("doc_id").alias(gone_))
     key = F.col("doc_id").cast("long")
 
     def lookup(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
     if shared.first() is None:
-        return docs.join(lookup(scratch.save(gone.distinct())), key == F.col("__gone"), "left_anti")
-    ids = lookup(scratch.save(shared.where("__id is not null")))
-    clear = docs.where("doc_id is not null").join(ids, key == F.col("__id"), "left_anti")
-    clear = clear.join(lookup(scratch.save(gone.distinct())), key == F.col("__gone"), "left_anti")
-    doubtful = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").join(ids, key == F.col("__id"), "left_semi"))
-    doubtful = scratch.save(_with_node(doubtful.select(*docs.columns, key.alias("__key"), F.col("text").cast("string").alias("__text")), words))
+        return docs.join(lookup(scratch.save(gone.distinct())), key == F.col(gone_), "left_anti")
+    ids = lookup(scratch.save(shared.where(F.col(id_).isNotNull())))
+    clear = docs.where("doc_id is not null").join(ids, key == F.col(id_), "left_anti")
+    clear = clear.join(lookup(scratch.save(gone.distinct())), key == F.col(gone_), "left_anti")
+    doubtful = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").join(ids, key == F.col(id_), "left_semi"))
+    doubtful = scratch.save(_with_node(doubtful.select("*", key.alias(key_), F.col("text").cast("string").alias(text_)), text_, node_, words))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    first = found.where("node is not null").groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("__first"), F.col("f.node").alias("__of"))
-    stays = doubtful.join(first, F.col("__key").eqNullSafe(F.col("__first")) & (F.col("__node") == F.col("__of")), "left_semi")
-    stays = stays.groupBy("__key", "__node").agg(F.min_by(F.struct(*docs.columns), "__text").alias("row")).select("row.*")
-    return clear.unionByName(stays).unionByName(doubtful.where("__node is null").select(*docs.columns))
+    first = found.where("node is not null").groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias(first_), F.col("f.node").alias(of_))
+    stays = doubtful.join(first, F.col(key_).eqNullSafe(F.col(first_)) & (F.col(node_) == F.col(of_)), "left_semi")
+    least = F.struct(text_, *[f.name for f in docs.schema.fields if _orderable(f.dataType)])
+    stays = stays.groupBy(key_, node_).agg(F.min_by(F.struct(*docs.columns), least).alias(text_)).select(f"{text_}.*")
+    return clear.unionByName(stays).unionByName(doubtful.where(F.col(node_).isNull()).select(*docs.columns))

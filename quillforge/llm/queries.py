@@ -27,7 +27,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80)
 
 
 def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

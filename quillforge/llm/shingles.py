@@ -99,10 +99,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
             yield total[:0]
 
 
-_TRIES, _AT_ONCE = 256, 16
-_ORDER = np.empty((BINS, _TRIES), np.int16)  # where bin i looks for a value on its t-th try: fixed for all sets
-for _t in range(_TRIES):
-    _ORDER[:, _t] = mix(np.arange(BINS, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(_t * 7_919 + 1)) % np.uint64(BINS)
+#: Columns of the order that are looked at together while bins are filled.
+_AT_ONCE = 16
+#: Row i lists all bins in the order in which bin i looks for a value, one fixed permutation a bin. So every
+#: search ends, and a set of one shingle is densified like any other.
+_ORDER = np.argsort(
+    mix(np.arange(BINS, dtype=np.uint64)[:, None] * np.uint64(1_000_003) + np.arange(BINS, dtype=np.uint64)[None] * np.uint64(7_919) + np.uint64(1)), axis=1
+).astype(np.int16)
+_RANK = np.argsort(_ORDER, axis=1).astype(np.int16)  # where in row i's order a bin stands
 _BAND_PLACE = _rng.integers(1, 2**63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
 
@@ -111,8 +115,8 @@ def bands(values: np.ndarray) -> np.ndarray:
     """Keys of the bands of a set that isn't empty.
 
     One permutation: a value's bin is where its hash lies, and the bin keeps its least hash. An empty
-    bin takes the value of the first bin that isn't empty in an order of its own, which is the same
-    for all sets (optimal densification).
+    bin takes the value of the first bin that isn't empty in a random order of its own, which is the
+    same for all sets (optimal densification: each full bin is as likely, independently for each bin).
     """
     hashed = np.sort(mix(values ^ np.uint64(0x5851F42D4C957F2D)))
     at = (hashed >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)  # ascending with the hash
@@ -122,26 +126,43 @@ def bands(values: np.ndarray) -> np.ndarray:
     bins[at[first].astype(np.int64)] = hashed[first]
     full[at[first].astype(np.int64)] = True
     if not full.all():
-        empty = np.flatnonzero(~full)
-        source = np.full(len(empty), -1)
-        left = np.arange(len(empty))
-        for t in range(0, _TRIES, _AT_ONCE):
-            tried = _ORDER[empty[left], t : t + _AT_ONCE]
-            hit = full[tried]
-            pick = hit.argmax(axis=1)
-            done = hit[np.arange(len(left)), pick]
-            source[left[done]] = tried[done, pick[done]]
-            left = left[~done]
-            if not len(left):
-                break
-        if len(left):  # all tries failed: the next full bin
-            filled = np.flatnonzero(full)
-            source[left] = filled[np.searchsorted(filled, empty[left]) % len(filled)]
+        bins_full, empty = np.flatnonzero(full), np.flatnonzero(~full)
+        if len(bins_full) <= _AT_ONCE:
+            source = bins_full[_RANK[np.ix_(empty, bins_full)].argmin(axis=1)]
+        else:
+            source = np.full(len(empty), -1)
+            left = np.arange(len(empty))
+            for t in range(0, BINS, _AT_ONCE):
+                tried = _ORDER[empty[left], t : t + _AT_ONCE]
+                hit = full[tried]
+                pick = hit.argmax(axis=1)
+                done = hit[np.arange(len(left)), pick]
+                source[left[done]] = tried[done, pick[done]]
+                left = left[~done]
+                if not len(left):
+                    break
         bins[empty] = bins[source]
     rows = bins.reshape(BANDS, ROWS)
     return mix((rows * _BAND_PLACE).sum(axis=1, dtype=np.uint64) ^ _BAND)
 
 
+#: Sets of at most ``TINY`` shingles, and those that they can be linked with, also get exact keys.
+TINY = 16
+
+
+def exact_keys(values: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of which two small sets share one wherever 100 * intersection >= percent * union; none for larger sets.
+
+    Small sets fill few bins, so their bands aren't independent. Their first ``n - ceil(p n) + 1`` shingles in
+    one fixed order are keys instead: linked sets always share one of these.
+    """
+    n = len(values)
+    if n * percent > TINY * 100:
+        return values[:0]
+    spread = np.sort(mix(values ^ np.uint64(0x2545F4914F6CDD1D)))
+    return mix(spread[: n - -(-percent * n // 100) + 1] ^ np.uint64(0xD6E8FEB86659FD93))
+
+
 def fingerprint(values: np.ndarray) -> bytes:
     """128 bits that name a set."""
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
