@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_components, brute_spans
+from tests.llm.test_near_duplicate_rows import brute_rows
+from tests.llm.test_operators import brute_spans
 
 
 def test_pipeline(spark, tmp_path):
@@ -25,7 +26,8 @@ def test_pipeline(spark, tmp_path):
         seen[name] = kept.collect()
     ids = lambda k: {r.doc_id for r in seen[k]}
     assert ids("start") - ids("language") == {10_001, 10_002}
-    assert ids("near_duplicates") == {d for d, _, _, first in brute_components([(r.doc_id, r.text) for r in seen["language"]]) if first}
+    language = [(r.doc_id, r.text, "") for r in seen["language"]]
+    assert ids("near_duplicates") == {min(language[i][0] for i in group) for group in brute_rows(language, 5)[1]}  # five words
     before = {r.doc_id: r.text for r in seen["near_duplicates"]}
     assert {r.doc_id for r in seen["personal_data"]} == set(before)
     for r in seen["personal_data"]:
