@@ -20,8 +20,11 @@ from pyspark.sql import types as T
 SPACE = "▁"
 #: What an unknown character costs below the lowest score.
 UNKNOWN_PENALTY = 10.0
-#: Chunks whose ids a worker keeps.
-CACHE_CHUNKS = 300_000
+#: Chunks whose ids a worker keeps, and the longest of them in characters.
+CACHE_CHUNKS, CACHE_CHARS = 300_000, 64
+
+#: What a model's normaliser must leave as it is, but for a space in front.
+_PROBE = "A  b\u00a0\uff21\ufb01 e\u0301\tx \u2460"
 
 
 class PieceCoder:
@@ -37,6 +40,8 @@ class PieceCoder:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        if model.normalize(_PROBE) != SPACE + _PROBE.replace(" ", SPACE):
+            raise ValueError("the model's normaliser changes texts; only one that puts a space in front is known here")
         n = model.vocab_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.scores = [model.get_score(i) for i in range(n)]
@@ -103,8 +108,12 @@ class PieceCoder:
             if len(known) + len(missing) > self.most:
                 known.clear()
                 missing = set(chunks)
+            long = {}
             for chunk in missing:
-                known[chunk] = np.array(self.viterbi(chunk.replace(" ", SPACE)), "<u4").tobytes()
+                ids = np.array(self.viterbi(chunk.replace(" ", SPACE)), "<u4").tobytes()
+                (known if len(chunk) <= CACHE_CHARS else long)[chunk] = ids
+            if long:  # of no use to other texts
+                return b"".join([long[c] if c in long else known[c] for c in chunks])
         return b"".join(map(known.__getitem__, chunks))
 
     def decode(self, ids: bytes) -> str:
@@ -118,11 +127,25 @@ class PieceCoder:
         return text[1:] if text.startswith(" ") else text
 
 
+_CODERS: dict[str, PieceCoder] = {}
+
+
+def piece_coder(model_path: str) -> PieceCoder:
+    """The worker's coder for a model; its automaton and cache serve all tasks of the worker."""
+    if model_path not in _CODERS:
+        _CODERS.clear()
+        _CODERS[model_path] = PieceCoder(model_path)
+    return _CODERS[model_path]
+
+
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and the piece ids of each text (array<int>); null and empty texts have none."""
+    """doc_id and the piece ids of each text (array<int>); null and empty texts have none.
+
+    One row per row, repeated ones and null doc_ids too; other columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(model_path)
+        coder = piece_coder(model_path)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
@@ -133,10 +156,10 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and the text of each row of ids; null ids are an empty text."""
+    """doc_id and the text of each row of ids; null ids are an empty text. Rows as in ``encode_pieces``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(model_path)
+        coder = piece_coder(model_path)
         for b in batches:
             made = [coder.decode(np.asarray(x.as_py() or [], "<u4").tobytes()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["doc_id", "text"])
@@ -164,7 +187,7 @@ def piece_digest(docs: DataFrame, model_path: str) -> DataFrame:
     kinds = [pa.int64()] * 5 + [pa.string(), pa.bool_()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(model_path)
+        coder = piece_coder(model_path)
         fallback = np.zeros(len(coder.pieces), bool)
         fallback[list(coder.byte_ids.values())] = True
         for b in batches:
