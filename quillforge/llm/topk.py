@@ -6,8 +6,10 @@ vector to a few pivots are computed once; for a query the largest difference of
 lower bound of its distance to a candidate. Candidates are evaluated in the order of their bounds until
 the next bound exceeds the k-th distance found, so the result is exact.
 
-Candidates are packed into blocks, and the stated queries into blocks as well; each candidate block
-meets each query block once and hands on k rows a query.
+The table of candidates with their pivot distances is written once and read where it lies: nothing of it
+is shuffled. Queries are the small side. They are broadcast in lots of a bounded size, with the k-th best
+score that a sample of the candidates gives each, and a task carries its own k-th best from block to block.
+A lot is one pass over the table.
 """
 
 from __future__ import annotations
@@ -19,9 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a candidate block and of a query block, pivots, and the sample that they are picked from.
-BLOCK, QUERY_BLOCK, PIVOTS, PIVOT_SAMPLE = 4096, 512, 48, 1024
-#: Candidates that are evaluated between two looks at the bounds.
+from .common import Scratch
+
+#: Rows of a candidate block, pivots, and the sample that they are picked from.
+BLOCK, PIVOTS, PIVOT_SAMPLE = 4096, 48, 1024
+#: Queries that are broadcast at once: with 64 components and 48 pivots about 1 KB each.
+QUERY_LOT = 16_384
+#: Candidates that are evaluated before the bounds are looked at again; twice as many each time.
 STEP = 128
 
 
@@ -73,77 +79,168 @@ class Pivots:
         return np.sqrt(np.maximum(0.0, square))
 
 
-def pick_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> Pivots:
-    """Pivots from a sample of at most ``sample`` rows (the least hashes of vec_id), far apart from each other."""
+def pick_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> tuple[Pivots, np.ndarray, np.ndarray]:
+    """Pivots from a sample of at most ``sample`` rows (the least hashes of vec_id), far apart from each other; the sample's ids and vectors."""
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)
     width, norm = vectors.agg(F.max(F.size("v")), F.max(square)).first()
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v").collect()
     points = np.zeros((len(rows), (width or 0)), np.int64)
     for i, r in enumerate(rows):
         points[i, : len(r["v"])] = r["v"]
     out = Pivots(np.empty((0, 0)), width or 0, norm or 0)
     out.points = _spread(out.lifted(points, query=False), pivots)
-    return out
+    return out, np.array([r["vec_id"] for r in rows], np.int64), points
+
+
+def pivot_table(vectors: DataFrame, pivots: Pivots, scratch: Scratch) -> DataFrame:
+    """vec_id, v and d, the distances to all pivots, written."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)  # a fixed number of points
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        for b in batches:
+            far = p.distances(p.lifted(_matrix(b.column(1), p.width), query=False))
+            ends = pa.array(np.arange(len(far) + 1) * far.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(far.ravel()))], names=["vec_id", "v", "d"])
+
+    return scratch.save(vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<long>, d array<double>"))
+
+
+def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    return (rows @ query).astype(np.int64)
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, q_dist: np.ndarray, block: np.ndarray, block_ids: np.ndarray, b_dist: np.ndarray, norm: float, k: int) -> tuple[list[int], list[int], list[int], int]:
-    """query_id, vec_id, score of the k best of a block for each query, and how many candidates were evaluated."""
-    out_q, out_v, out_s, tried = [], [], [], 0
+def best_of_block(
+    queries: np.ndarray, query_ids: np.ndarray, q_dist: np.ndarray, block: np.ndarray, block_ids: np.ndarray, b_dist: np.ndarray, norm: float, k: int, least: np.ndarray | None = None
+) -> tuple[list[int], list[int], list[int], list[bool], int]:
+    """Query number, vec_id, score, own of the k best of a block for each query, and how many candidates were evaluated.
+
+    ``least`` holds for each query a score that its k-th best reaches anyway; candidates below it may be left out.
+    ``own`` marks candidates that have the query's id and components.
+    """
+    out_q, out_v, out_s, out_own, tried = [], [], [], [], 0
     exact = np.abs(block).max(initial=0) * np.abs(queries).max(initial=0) * max(1, block.shape[1]) < 2**52
     fast, fast_q = (block.astype(np.float64), queries.astype(np.float64)) if exact else (block, queries)
+    near, near_q = b_dist.astype(np.float32), q_dist.astype(np.float32)
+    slack = 1e-6 + 1e-6 * (float(near.max(initial=0)) + float(near_q.max(initial=0)))  # rounding of the bounds
+    same = np.isin(query_ids, block_ids)
     for i, own in enumerate(query_ids):
-        bound = np.abs(b_dist - q_dist[i]).max(axis=1, initial=0.0)
-        order = np.argsort(bound, kind="stable")
+        bound = np.abs(near - near_q[i]).max(axis=1, initial=0.0)
         square = float((fast_q[i] ** 2).sum()) + norm
-        scores = np.empty(0, np.int64)
-        ids = np.empty(0, np.int64)
-        for at in range(0, len(order), STEP):
-            some = order[at : at + STEP]
-            if len(scores) == k:
-                worst = np.sqrt(max(0.0, square - 2.0 * float(scores[-1])))
-                if bound[some[0]] > worst * (1 + 1e-9) + 1e-6:  # equal distances are still looked at, for ties
-                    break
-            some = some[block_ids[some] != own]
+
+        def reach(score: float) -> float:  # equal distances are still looked at, for ties
+            return np.sqrt(max(0.0, square - 2.0 * score)) * (1 + 1e-9) + slack  # noqa: B023
+
+        there = np.arange(len(bound)) if least is None or least[i] == -np.inf else np.flatnonzero(bound <= reach(float(least[i])))
+        order = there[np.argsort(bound[there], kind="stable")]
+        scores, ids, rows = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        at, step = 0, STEP
+        while at < len(order):
+            if len(scores) == k and bound[order[at]] > reach(float(scores[-1])):
+                break
+            some = order[at : at + step]
+            at, step = at + step, 2 * step
             tried += len(some)
-            scores = np.concatenate((scores, (fast[some] @ fast_q[i]).astype(np.int64)))
-            ids = np.concatenate((ids, block_ids[some]))
+            scores = np.concatenate((scores, _products(fast[some], fast_q[i])))
+            ids, rows = np.concatenate((ids, block_ids[some])), np.concatenate((rows, some))
             keep = np.lexsort((ids, -scores))[:k]
-            scores, ids = scores[keep], ids[keep]
-        out_q += [int(own)] * len(ids)
+            scores, ids, rows = scores[keep], ids[keep], rows[keep]
+        if least is not None:
+            fine = scores >= least[i]
+            scores, ids, rows = scores[fine], ids[fine], rows[fine]
+        out_q += [i] * len(ids)
         out_v += ids.tolist()
         out_s += scores.tolist()
-    return out_q, out_v, out_s, tried
+        out_own += ((ids == own) & (block[rows] == queries[i]).all(axis=1)).tolist() if same[i] else [False] * len(ids)
+    return out_q, out_v, out_s, out_own, tried
+
+
+class Lot:
+    """Queries that are broadcast together, and the scores that their k-th best reach in the sample."""
+
+    def __init__(self, rows: pa.Table, pivots: Pivots, sample_ids: np.ndarray, sample: np.ndarray, k: int):
+        rows = rows.combine_chunks()
+        self.rows, self.ids = (rows.column(c).to_numpy() for c in ("row", "vec_id"))
+        v = rows.column("v")
+        self.v = _matrix(v.chunk(0) if v.num_chunks else pa.array([], v.type), pivots.width)
+        self.far, self.norm = pivots.distances(pivots.lifted(self.v, query=True)), float(pivots.norm)
+        self.least = np.full(len(self.ids), -np.inf)
+        for i, (own, q) in enumerate(zip(self.ids, self.v, strict=True)):
+            scores = _products(sample[sample_ids != own], q)
+            if len(scores) >= k:
+                self.least[i] = np.partition(scores, -k)[-k]
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for b in batches:
+        for at in range(0, b.num_rows, most):
+            part = b.slice(at, most)
+            held.append(part)
+            n += part.num_rows
+            if n >= most:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _found(table: DataFrame, lot: Lot, width: int, k: int, block: int) -> DataFrame:
+    """row (the query's), query_id, vec_id, score, own: of each task the k + 1 best candidates of each query, own ones too."""
+    shared = table.sparkSession.sparkContext.broadcast(lot)  # QUERY_LOT queries
 
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
+        n, kinds = len(queries.ids), (np.int64, np.int64, np.int64, bool)
+        least, best = queries.least.copy(), [np.empty(0, x) for x in kinds]
+        for t in _blocks(batches, block):
+            ids, v, d = (t.column(c).chunk(0) for c in ("vec_id", "v", "d"))
+            far = d.flatten().to_numpy().reshape(len(ids), -1)
+            got = best_of_block(queries.v, queries.ids, queries.far, _matrix(v, width), ids.to_numpy(), far, queries.norm, k + 1, least)
+            best = [np.concatenate((x, np.array(y, kind))) for x, y, kind in zip(best, got[:4], kinds, strict=True)]
+            order = np.lexsort((best[1], -best[2], best[0]))
+            best = [x[order] for x in best]
+            place = np.arange(len(order)) - np.searchsorted(best[0], best[0])
+            best = [x[place <= k] for x in best]
+            count = np.bincount(best[0], minlength=n)
+            full = np.flatnonzero(count > k)
+            # One of the k + 1 may be the query's own row, so the last one is what k others reach.
+            least[full] = np.maximum(least[full], best[2][np.cumsum(count)[full] - 1])
+        at = best[0]
+        arrays = [pa.array(queries.rows[at], pa.int64()), pa.array(queries.ids[at], pa.int64()), *[pa.array(x) for x in best[1:]]]
+        yield pa.RecordBatch.from_arrays(arrays, names=["row", "query_id", "vec_id", "score", "own"])
+
+    return table.mapInArrow(run, "row long, query_id long, vec_id long, score long, own boolean")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, lot: int = QUERY_LOT) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` the k rows of ``vectors`` with the largest inner product.
 
-    Both have vec_id and v (see ``quantised``). A query's own vec_id is no candidate; ties go to the
-    smaller vec_id; with fewer than k candidates all are returned. Shorter vectors count as filled with
-    zeros. An empty side gives no rows. Inner products must fit in a long. Rows that repeat a vec_id are
-    candidates each.
+    Both have vec_id and v (see ``quantised``). A query's own row (one with its id and components) is no
+    candidate; ties go to the smaller vec_id; with fewer than k candidates all are returned. Rows that
+    repeat a vec_id are candidates each, and queries each, with ranks of their own. Shorter vectors count as
+    filled with zeros. An empty side gives no rows. Inner products must fit in a long.
     """
-    n = vectors.count()
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-queries.count() // QUERY_BLOCK))
-    pivots = vectors.sparkSession.sparkContext.broadcast(pick_pivots(vectors))  # a fixed number of points
-
-    def packed(df: DataFrame, count: int, name: str) -> DataFrame:
-        """Rows of ``name``, ids (array) and vs (array of arrays); hashing spreads any order of ids."""
-        spread = F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(count)).alias(name)
-        return df.select(spread, "vec_id", "v").groupBy(name).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-
-    left = packed(vectors, blocks, "b").select("rows", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    right = packed(queries, query_blocks, "q").select("q", F.col("rows").alias("asked"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pivots.value
-        for b in batches:
-            for i in range(b.num_rows):
-                (ids, v), (query_ids, q) = ((side.field("vec_id").to_numpy(), _matrix(side.field("v"), p.width)) for side in (b.column(c)[i].values for c in (0, 1)))
-                q_lift = p.lifted(q, query=True)
-                got = best_of_block(q, query_ids, p.distances(q_lift), v, ids, p.distances(p.lifted(v, query=False)), float(p.norm), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got[:3]], names=["query_id", "vec_id", "score"])
-
-    found = left.join(right, "q").select("rows", "asked").mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    scratch = Scratch(vectors.sparkSession)
+    asked = scratch.save(queries.select("vec_id", "v", F.monotonically_increasing_id().alias("row")))
+    lots = -(-asked.count() // lot)
+    none = vectors.sparkSession.createDataFrame([], "row long, query_id long, vec_id long, score long, own boolean")
+    pivots, sample_ids, sample = pick_pivots(vectors)
+    if not lots or not len(sample):
+        found = none
+    else:
+        table = pivot_table(vectors, pivots, scratch)
+        parts = []
+        for i in range(lots):
+            own = asked.where(F.pmod(F.xxhash64("row"), F.lit(lots)) == i)
+            made = _found(table, Lot(own.toArrow(), pivots, sample_ids, sample, k), pivots.width, k, block)
+            parts.append(scratch.save(made) if lots > 1 else made)
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.union(part)
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", F.desc("own"))
+    few = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    so_far = F.sum(F.col("own").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rank = F.col("n") - F.least("owns", F.lit(1))
+    ranked = few.withColumn("owns", so_far).where(~(F.col("own") & (F.col("owns") == 1))).withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
