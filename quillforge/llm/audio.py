@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import Scratch
+
 # Fixed values of the MPEG audio format: kbit/s by bitrate index and Hz by rate index.
 KBPS = {
     (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -30,6 +32,12 @@ KBPS = {
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+# Fixed values of the format's layer II: bits of the allocation of each subband, as (bits, subbands), by table.
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "low": ((4, 4), (3, 7), (2, 19)),
+}
+# Names by which encoders sign the table frame; the delay and padding that they leave follow them.
+ENCODERS = (b"LAME", b"Lavf", b"Lavc", b"GOGO")
 
 #: Header, checksum and side information (mono) of the frames that are written.
 HEAD = 4 + 2 + 17
@@ -49,11 +57,14 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
-def crc16(data: bytes) -> int:
-    """The format's checksum: polynomial 0x8005, first value 0xFFFF."""
+def crc16(data: bytes, bits: int = 0) -> int:
+    """The format's checksum: polynomial 0x8005, first value 0xFFFF. Of the last byte only ``bits`` count, if not 0."""
     r = 0xFFFF
-    for b in data:
+    for b in data[:-1] if bits else data:
         r = (r << 8 & 0xFFFF) ^ _CRC[r >> 8 ^ b]
+    for i in range(bits):
+        over = (r >> 15) ^ (data[-1] >> (7 - i) & 1)
+        r = (r << 1 & 0xFFFF) ^ (0x8005 if over else 0)
     return r
 
 
@@ -67,6 +78,7 @@ class Header:
     size: int
     samples: int
     mono: bool
+    bound: int  # subbands whose allocation each channel has for itself
 
     @property
     def side(self) -> int:
@@ -99,7 +111,46 @@ def _header(four: bytes) -> Header | None:
     kbps, rate = KBPS[1 if version == 3 else 2, layer][bits], RATES[version][rate_i]
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
     size = (12_000 * kbps // rate + pad) * 4 if layer == 1 else samples * 125 * kbps // rate + pad
-    return Header(version, layer, not four[1] & 1, kbps, rate, size, samples, four[3] >> 6 == 3)
+    bound = 4 * ((four[3] >> 4 & 3) + 1) if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, kbps, rate, size, samples, four[3] >> 6 == 3, bound)
+
+
+def subbands(h: Header) -> list[int]:
+    """Bits of the allocation of each subband of a layer II frame."""
+    each = h.kbps // (1 if h.mono else 2)
+    if h.version != 3:
+        table = "low"
+    elif each <= 48:
+        table = "d" if h.rate == 32000 else "c"
+    else:
+        table = "a" if h.rate == 48000 or each <= 80 else "b"
+    return [bits for bits, n in ALLOCATION[table] for _ in range(n)]
+
+
+def covered_bits(frame: bytes, h: Header) -> int:
+    """Bits after the checksum that it covers: allocations (layer I), allocations and scale factor selections (II), side information (III)."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (32 if h.mono else 2 * h.bound + 32 - h.bound)
+    number, size, at, chosen = int.from_bytes(frame[6 : 6 + 64], "big"), 8 * len(frame[6 : 6 + 64]), 0, 0
+    for band, bits in enumerate(subbands(h)):
+        own = channels if band < h.bound else 1
+        for _ in range(own):
+            if number >> max(0, size - at - bits) & (1 << bits) - 1:
+                chosen += channels // own
+            at += bits
+    return at + 2 * chosen
+
+
+def checksum_holds(frame: bytes, h: Header) -> bool:
+    """Whether a protected frame of any layer has its checksum."""
+    bits = covered_bits(frame, h)
+    body = frame[6 : 6 + -(-bits // 8)]
+    if 8 * len(body) < bits:
+        return False
+    return int.from_bytes(frame[4:6], "big") == _checksum(frame[2:4] + body, bits % 8)
 
 
 def _own_header(bits: int) -> bytes:
@@ -120,8 +171,8 @@ def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
 
-def encode(payload: bytes) -> bytes:
-    """The stored form of a payload of any length."""
+def encode(payload: bytes, own: int | None = None) -> bytes:
+    """The stored form of a payload of any length, of which the first ``own`` bytes (default: all) aren't padding."""
     whole, rest = divmod(len(payload), _FULL)
     bits = next(b for b in range(1, 15) if _SIZES[b] - HEAD >= rest)
     body = np.empty((whole, _SIZES[14]), np.uint8)
@@ -134,7 +185,7 @@ def encode(payload: bytes) -> bytes:
     ends = np.minimum(np.ceil(np.arange(100) * frames / 100), whole) * _SIZES[14] + table_size
     toc = np.minimum(255, 256 * ends // max(total, 1)).astype(np.uint8).tobytes()
     xing = (_HEADS[9] + b"Xing" + struct.pack(">III", 7, frames, total) + toc).ljust(table_size, b"\0")
-    private = b"quillforge\0" + struct.pack(">Q", len(payload))
+    private = b"quillforge\0" + struct.pack(">QQ", len(payload) if own is None else own, len(payload))
     frame = b"PRIV" + struct.pack(">I", len(private)) + b"\0\0" + private
     return b"".join((b"ID3\x03\0\0", _syncsafe(len(frame)), frame, xing, body.tobytes(), last))
 
@@ -154,10 +205,16 @@ class Stream:
     def samples(self) -> int:
         return sum(h.samples for h in self.headers)
 
+    @property
+    def played(self) -> int:
+        """Samples without the encoder's delay and padding, where the table frame tells them."""
+        left = (self.vbr or {}).get("delay", 0) + (self.vbr or {}).get("padding", 0)
+        return max(0, self.samples - left)
+
     @property
     def seconds(self) -> tuple[int, int]:
-        """The exact duration as a fraction: samples and rate (1 where there is no frame)."""
-        return self.samples, self.headers[0].rate if self.headers else 1
+        """The exact duration as a fraction: played samples and rate (1 where there is no frame)."""
+        return self.played, self.headers[0].rate if self.headers else 1
 
     def seek(self, sample: int) -> int | None:
         """The offset of the frame that holds a sample."""
@@ -192,6 +249,11 @@ def _table(data: bytes, at: int, h: Header) -> dict | None:
                 p += 4
         if flags & 4:
             out["toc"] = data[p : p + 100]
+            p += 100
+        p += 4 * bool(flags & 8)
+        if data[p : p + 4] in ENCODERS and p + 24 <= at + h.size:
+            both = int.from_bytes(data[p + 21 : p + 24], "big")
+            out |= {"encoder": data[p : p + 9].rstrip(b"\0").decode("latin-1"), "delay": both >> 12, "padding": both & 0xFFF}
         return out
     start = at + 4 + 32
     if data[start : start + 4] == b"VBRI":
@@ -233,9 +295,8 @@ def parse(data: bytes) -> Stream:
             out.skipped_bytes += found - at
             at = found
             continue
-        if h.protected and h.layer == 3:
-            if data[at + 4 : at + 6] != struct.pack(">H", _checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side])):
-                out.bad_checksums += 1
+        if h.protected and not checksum_holds(data[at : at + h.size], h):
+            out.bad_checksums += 1
         if like is None and (table := _table(data, at, h)):
             out.vbr = table
         else:
@@ -247,15 +308,16 @@ def parse(data: bytes) -> Stream:
     return out
 
 
-_SUMS: dict[bytes, int] = {}
+_SUMS: dict[tuple[bytes, int], int] = {}
 
 
-def _checksum(covered: bytes) -> int:
-    if covered not in _SUMS:
+def _checksum(covered: bytes, bits: int) -> int:
+    key = covered, bits
+    if key not in _SUMS:
         if len(_SUMS) > 4096:
             _SUMS.clear()
-        _SUMS[covered] = crc16(covered)
-    return _SUMS[covered]
+        _SUMS[key] = crc16(covered, bits)
+    return _SUMS[key]
 
 
 def decode(data: bytes) -> tuple[bytes, Stream]:
@@ -280,6 +342,7 @@ def feature(stream: Stream) -> str:
     return f"samples={samples};rate={rate};frames={len(stream.offsets)};kbps={kinds};table={stream.vbr['frames'] if stream.vbr else '-'}:{toc:08x};seek={seeks};bad={stream.bad_checksums}"
 
 
+#: The contract's columns, then what the method stores: the exact duration (samples at a rate), and where each frame starts.
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("n_bytes", T.LongType()),
@@ -289,7 +352,11 @@ SCHEMA = T.StructType([
     T.StructField("media_bytes", T.LongType()),
     T.StructField("media_sha256", T.StringType()),
     T.StructField("feature", T.StringType()),
+    T.StructField("samples", T.LongType()),
+    T.StructField("rate", T.LongType()),
+    T.StructField("frame_offsets", T.ArrayType(T.LongType())),
 ])
+_KINDS = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
 
 
 def padded(raw: bytes, unit: int = 64) -> bytes:
@@ -297,38 +364,54 @@ def padded(raw: bytes, unit: int = 64) -> bytes:
     return raw.ljust(max(unit, -(-len(raw) // unit) * unit), b"\0")
 
 
-def describe(doc_id: int | None, raw: bytes) -> tuple:
-    media = encode(padded(raw))
+def describe(doc_id: int | None, media: bytes) -> tuple:
+    """A row of ``SCHEMA`` from a stored form alone; ValueError where it isn't whole."""
     payload, stream = decode(media)
-    return (doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(stream))
+    own = int.from_bytes(stream.tags["PRIV"][-16:-8], "big")
+    digest = hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()
+    return doc_id, own, len(payload), *digest, feature(stream), *stream.seconds, stream.offsets
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """The stored form of each text: doc_id, media (binary). Null is an empty text; all-zero padding to 64 bytes."""
+    """The stored form of each text: doc_id, media (binary).
+
+    One row per row, repeated rows and null doc_ids too; null is an empty text; padding is all zero, to 64 bytes
+    at least. Other columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                media = [encode(padded((t.as_py() or "").encode())) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], names=["doc_id", "media"])
+                raws = [(t.as_py() or "").encode() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode(padded(r), len(r)) for r in raws], pa.binary())], names=["doc_id", "media"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, media binary")
 
 
-def media_features(docs: DataFrame) -> DataFrame:
-    """Store each text as MPEG audio, read the stored bytes back and describe them.
+def read_media(stored: DataFrame) -> DataFrame:
+    """The columns of ``SCHEMA`` for each row of ``stored`` (doc_id, media); a form that isn't whole fails the job.
 
-    One row per row of ``docs`` (doc_id, text), repeated rows and null doc_ids too. Null and empty
-    texts are 64 zero bytes. Other columns are ignored; an empty table gives no rows. The text and
-    its stored form are in memory once per row, so a long text costs twice its size.
+    Where a duration's encoder delay and padding are told, they aren't counted. Frame offsets are bytes from the
+    start of the stored form, so a player can seek without reading what comes before.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [describe(d, (t.as_py() or "").encode()) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
-            columns = zip(*made, strict=True) if made else [[] for _ in SCHEMA]
-            kinds = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int64() for f in SCHEMA]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=SCHEMA.names)
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                made = [describe(d, m.as_buffer().to_pybytes()) for d, m in zip(part.column(0).to_pylist(), part.column(1), strict=True)]
+                columns = zip(*made, strict=True) if made else [[] for _ in SCHEMA]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), _KINDS[f.dataType]) for c, f in zip(columns, SCHEMA, strict=True)], names=SCHEMA.names)
+
+    return stored.select("doc_id", "media").mapInArrow(run, SCHEMA)
+
+
+def media_features(docs: DataFrame) -> DataFrame:
+    """Store each text as MPEG audio in a written table, read the stored bytes back and describe them.
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)
+    One row per row of ``docs`` (doc_id, text), repeated rows and null doc_ids too. Null and empty
+    texts are 64 zero bytes. Other columns are ignored; an empty table gives no rows. The text and
+    its stored form are in memory once per row, so a long text costs twice its size.
+    """
+    return read_media(Scratch(docs.sparkSession).save(to_media(docs)))
