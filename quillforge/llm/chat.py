@@ -209,7 +209,8 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
     """Per conversation what its windows hold, read back from the formatted text alone.
 
     Takes the windows as ``format_conversations`` gives them: a conversation's in one partition and in
-    order. Hashes run along, so no conversation is held whole.
+    order. Hashes run along, so no conversation is held whole. Windows in any other order fail the job, as
+    their hashes would be wrong. No windows give no rows.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -217,6 +218,7 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: object = ...
         state: list = []
+        wanted = 0
         rows: list[tuple] = []
 
         def close() -> None:
@@ -224,11 +226,14 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
             rows.append((current, n, turns.hexdigest(), chars, loss.hexdigest(), size))
 
         for b in batches:
-            for conv, repeated, formatted, mask in zip(*(b.column(c).to_pylist() for c in ("conv_id", "n_repeated", "formatted", "mask")), strict=True):
+            for conv, number, repeated, formatted, mask in zip(*(b.column(c).to_pylist() for c in ("conv_id", "window", "n_repeated", "formatted", "mask")), strict=True):
                 if conv != current or current is ...:
                     if current is not ...:
                         close()
-                    current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    current, state, wanted = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], 0
+                if number != wanted:
+                    raise ValueError(f"windows of conversation {conv} aren't in order")
+                wanted += 1
                 for role, text, _, _ in parse(formatted)[repeated:]:
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
