@@ -16,8 +16,12 @@ from quillforge.llm.common import Scratch, bound_batches
 from quillforge.llm.queries import tokenizer_path
 from quillforge.shipping import ship
 
-#: Texts whose distance to every language is this near the most possible aren't in a learned language.
+#: Texts that score less with every language are as far from all of them as letters put together at random.
 LEAST_SCORE = 0.2
+#: Words of a shingle, and the similarity in percent from which two texts are near-duplicates.
+WORDS, PERCENT = 5, 80
+#: When a term reveals an entity; see ``quillforge.llm.private``.
+DISCLOSURE = private.Disclosure()
 
 
 def _ready(spark: SparkSession) -> None:
@@ -32,14 +36,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates stays: the one with the least doc_id."""
+    """One row of each group of near-duplicates stays: the one with the least doc_id. Rows without a twin all stay."""
     _ready(spark)
-    return dedup.drop_near_duplicates(docs)
+    return dedup.drop_near_duplicates(docs, WORDS, PERCENT)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and terms that reveal it are replaced by labels; n_chars follows the text."""
-    return private.sanitise(docs)
+    return private.sanitise(docs, DISCLOSURE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
