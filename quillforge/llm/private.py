@@ -268,41 +268,51 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def sightings(places: DataFrame, scratch: Scratch) -> DataFrame:
-    """entity, digest, sight, n_e, d_e: the texts of each entity, its sightings and texts counted.
+    """entity, digest, sight, n_e, d_e: the texts of each entity, its sightings and texts counted; entities and sightings are numbers.
 
     Of entities that stand in the same texts in the same way only the first is listed, since all share their
     terms: a text of many values that is copied and edited makes no more pairs than one value of it.
     """
     held = scratch.save(places.groupBy("entity", "digest").agg(F.min(F.sha1(F.concat_ws("\0", "before", "after").cast("binary"))).alias("near")))
     # A sighting is named by its first text, so that entities can be compared.
-    first = held.groupBy("entity", "near").agg(F.min("digest").alias("sight"))
-    named = scratch.save(held.join(first, ["entity", "near"]).select("entity", "digest", "sight"))
-    mark = lambda salt: F.sum(F.xxhash64("digest", "sight", F.lit(salt)).cast("decimal(38,0)"))
+    first = scratch.save(held.groupBy("entity", "near").agg(F.min("digest").alias("first")).withColumn("sight", F.monotonically_increasing_id()))
+    named = scratch.save(held.join(first, ["entity", "near"]).select("entity", "digest", "first", "sight"))
+    mark = lambda salt: F.sum(F.xxhash64("digest", "first", F.lit(salt)).cast("decimal(38,0)"))
     counted = named.groupBy("entity").agg(F.countDistinct("sight").alias("n_e"), F.count(F.lit(1)).alias("d_e"), mark(1).alias("m1"), mark(2).alias("m2"))
     apart = counted.groupBy("m1", "m2", "n_e", "d_e").agg(F.min("entity").alias("entity"))
-    return scratch.save(named.join(apart.select("entity", "n_e", "d_e"), "entity"))
+    apart = scratch.save(apart.select("entity", "n_e", "d_e", F.monotonically_increasing_id().alias("number")))
+    return scratch.save(named.join(apart, "entity").select("entity", "number", "digest", "sight", "n_e", "d_e"))
 
 
-def shared_pairs(held: DataFrame, words: DataFrame, rule: Disclosure) -> tuple[DataFrame, DataFrame]:
-    """Two tables of entity, n_e, d_e, sight, digest, term: words of recurring entities, and codes with each text's rarest entity.
+def _most_texts(n: Column | float, n_e: Column, rule: Disclosure) -> Column:
+    """In how many texts a word can stand at most for an entity of n_e sightings to be revealed by it: at n_te = n_e."""
+    smooth = n_e / (n_e + rule.discount)
+    return n_e * F.pow(F.lit(n) / n_e, 1 - rule.generalise / smooth) * (1 + 1e-9)
 
-    An entity of one sighting has no word that reaches a threshold, so its texts' words aren't listed.
+
+def shared_pairs(held: DataFrame, words: DataFrame, total: int, rule: Disclosure, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Two tables of number (the entity), n_e, d_e, sight, digest, term: words of recurring entities, and codes with each text's rarest entity.
+
+    An entity of one sighting has no word that reaches a threshold, so its texts' words aren't listed. Neither are
+    words that stand in too many of the texts with values alone; that table is written, counted, and used when small.
     """
-    columns = ("entity", "n_e", "d_e", "sight", "digest", "term")
+    columns = ("number", "n_e", "d_e", "sight", "digest", "term")
     often = held.where("n_e > 1").join(words, "digest").withColumn("term", F.explode("words")).select(*columns)
-    rarest = held.groupBy("digest").agg(F.min(F.struct("n_e", "d_e", "entity", "sight")).alias("r")).select("digest", "r.*")
+    common = scratch.save(words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("h_t")).where("h_t > 4"))
+    if common.count() <= BROADCAST_ROWS:
+        most = F.col("d_e") + _most_texts(float(total), F.col("n_e"), rule)
+        often = often.join(F.broadcast(common), "term", "left").where(F.col("h_t").isNull() | (F.col("h_t") <= most)).select(*columns)
+    rarest = held.groupBy("digest").agg(F.min(F.struct("n_e", "d_e", "entity", "number", "sight")).alias("r")).select("digest", "r.*")
     codes = words.select("digest", F.explode(F.filter("words", lambda w: _is_code(w, rule))).alias("term")).join(rarest, "digest").select(*columns)
     return often, codes
 
 
-def corpus_counts(texts: DataFrame, terms: DataFrame, scratch: Scratch) -> tuple[int, DataFrame]:
-    """The number of distinct texts of the corpus, and term, d_t: those that hold each term.
+def corpus_counts(texts: DataFrame, terms: DataFrame, copies: DataFrame) -> DataFrame:
+    """term, d_t: the distinct texts of the corpus that hold each of ``terms``.
 
-    ``texts`` has digest, text and base. Texts without personal data count like all others; copies add up to one text.
+    ``texts`` has digest, text and base, ``copies`` the digests of repeated texts. Texts without personal data
+    count like all others; copies add up to one text.
     """
-    digests = scratch.save(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")))
-    total = digests.count()
-    copies = scratch.save(digests.where("copies > 1"))
     each = texts.join(_few(copies), "digest", "left")
     # Values aren't terms: they are taken out where there are any.
     parts = F.when(F.size("base") > 0, _regions(F.col("base"), F.length("text")))
@@ -312,7 +322,7 @@ def corpus_counts(texts: DataFrame, terms: DataFrame, scratch: Scratch) -> tuple
     seen = rows.select((F.lit(1.0) / F.col("copies")).alias("part"), F.explode(_terms(F.col("free"))).alias("term"))
     if terms.count() <= BROADCAST_ROWS:
         seen = seen.join(F.broadcast(terms), "term", "left_semi")
-    return total, seen.groupBy("term").agg(F.round(F.sum("part")).alias("d_t")).join(terms, "term", "left_semi")
+    return seen.groupBy("term").agg(F.round(F.sum("part")).alias("d_t")).join(terms, "term", "left_semi")
 
 
 def corpus_terms(texts: DataFrame, places: DataFrame, scratch: Scratch, rule: Disclosure) -> DataFrame | None:
@@ -320,26 +330,29 @@ def corpus_terms(texts: DataFrame, places: DataFrame, scratch: Scratch, rule: Di
     held = sightings(places, scratch)
     own = texts.where(F.size("base") > 0).dropDuplicates(["digest"])
     words = scratch.save(_masked(own).select("digest", _terms(F.col("masked")).alias("words")))
-    often, codes = shared_pairs(held, words, rule)
+    digests = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    total = digests.count()
+    often, codes = shared_pairs(held, words, total, rule, scratch)
 
     def counted(seen: DataFrame, least: int, discount: float) -> DataFrame:
-        pairs = seen.groupBy("entity", "term").agg(F.countDistinct("sight").alias("n_te"), F.countDistinct("digest").alias("d_te"), F.first("n_e").alias("n_e"), F.first("d_e").alias("d_e"))
+        # A text holds an entity and a term once in these tables, so rows are texts.
+        pairs = seen.groupBy("number", "term").agg(F.countDistinct("sight").alias("n_te"), F.count(F.lit(1)).alias("d_te"), F.min("n_e").alias("n_e"), F.min("d_e").alias("d_e"))
         return pairs.where(F.col("n_te") >= least).withColumn("discount", F.lit(float(discount)))
 
     pairs = scratch.save(counted(often, 2, rule.discount).unionByName(counted(codes, 1, 0.0)))
     if pairs.first() is None:  # the corpus needn't be counted
         return None
-    total, counts = corpus_counts(texts, scratch.save(pairs.select("term").distinct()), scratch)
+    counts = corpus_counts(texts, scratch.save(pairs.select("term").distinct()), scratch.save(digests.where("copies > 1")))
     # Texts that are one sighting of the entity count as one of n and n_t as well.
     n, n_t = F.lit(float(total)) - F.col("d_e") + F.col("n_e"), F.col("d_t") - F.col("d_te") + F.col("n_te")
     share = F.log2(F.col("n_te") * n / (n_t * F.col("n_e"))) / F.log2(n / F.col("n_e")) * F.col("n_te") / (F.col("n_te") + F.col("discount"))
-    scored = pairs.join(counts, "term").where(n > F.col("n_e")).select("entity", "term", share.alias("share")).where(F.col("share") >= rule.generalise)
-    scored = scored.groupBy("entity", "term").agg(F.max("share").alias("share"))
-    near = revealing_terms(places, rule).select("entity", "term", F.col("share").alias("near"))
+    scored = pairs.join(counts, "term").where(n > F.col("n_e")).select("number", "term", share.alias("share")).where(F.col("share") >= rule.generalise)
+    scored = scored.groupBy("number", "term").agg(F.max("share").alias("share"))
+    near = revealing_terms(places, rule).join(held.select("entity", "number").distinct(), "entity").select("number", "term", F.col("share").alias("near"))
     removed = F.greatest("share", F.coalesce("near", F.lit(0.0))) >= rule.remove
-    flagged = scratch.save(scored.join(near, ["entity", "term"], "left").select("entity", "term", removed.alias("removed")))
+    flagged = scratch.save(scored.join(near, ["number", "term"], "left").select("number", "term", removed.alias("removed")))
     flagged_few = _few(flagged)
-    there = often.join(flagged_few, ["entity", "term"]).unionByName(codes.join(flagged_few, ["entity", "term"]))
+    there = often.join(flagged_few, ["number", "term"]).unionByName(codes.join(flagged_few, ["number", "term"]))
     return scratch.save(there.groupBy("digest", "term").agg(F.bool_or("removed").alias("removed")))
 
 
