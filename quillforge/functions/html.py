@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -17,6 +18,12 @@ DROPPED = (
     ("section", "ltx_bibliography"), ("", "ltx_page_navbar"), ("", "ltx_TOC"),
 )
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# Tags whose end may be left out: one that is open last ends where a tag of its list begins.
+_IMPLIED = {
+    "p": frozenset("p div section article figure figcaption table ul ol dl blockquote pre header footer main nav aside h1 h2 h3 h4 h5 h6 hr".split()),
+    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),
+    "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]),
+}
 _BLOCKS = frozenset("p div section article figure figcaption table ul ol blockquote pre header footer main nav aside dl dt dd".split())
 
 
@@ -37,26 +44,46 @@ class Node:
             yield node
             stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
+    def raw(self) -> str:
+        """All text below, as it stands."""
+        out, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, str):
+                out.append(node)
+            else:
+                stack += reversed(node.children)
+        return "".join(out)
+
 
 class _Tree(HTMLParser):
+    """A page as nodes. Open tags are counted by name, so that stray ends cost nothing."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
         self.open = [self.root]
+        self.counts: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
+        while tag in _IMPLIED.get(self.open[-1].tag, ()):
+            self.counts[self.open.pop().tag] -= 1
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.counts[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
+        if not self.counts[tag]:
+            return
+        while True:
+            ended = self.open.pop().tag
+            self.counts[ended] -= 1
+            if ended == tag:
                 return
 
     def handle_data(self, data):
@@ -82,57 +109,131 @@ def _inline(text: str) -> str:
     return re.sub(r"\s+", " ", text)
 
 
-def _plain(node: Node | str) -> str:
-    """Markdown of a node and all that is below it."""
+class Rope:
+    """Pieces of text in order. Joining two moves the shorter one's pieces, so deep pages aren't copied level by level."""
+
+    def __init__(self, *pieces: str):
+        self.pieces = deque(p for p in pieces if p)
+
+    def __str__(self) -> str:
+        return "".join(self.pieces)
+
+    def followed(self, other: Rope) -> Rope:
+        if len(other.pieces) > len(self.pieces):
+            other.pieces.extendleft(reversed(self.pieces))
+            return other
+        self.pieces.extend(other.pieces)
+        return self
+
+    def stripped(self) -> tuple[str, str]:
+        """Take the white space off both ends; what was taken."""
+        left, right = [], []
+        while self.pieces:
+            first = self.pieces.popleft()
+            rest = first.lstrip()
+            left.append(first[: len(first) - len(rest)])
+            if rest:
+                self.pieces.appendleft(rest)
+                break
+        while self.pieces:
+            last = self.pieces.pop()
+            rest = last.rstrip()
+            right.append(last[len(rest) :])
+            if rest:
+                self.pieces.append(rest)
+                break
+        return "".join(left), "".join(reversed(right))
+
+    def around(self, left: str, right: str) -> Rope:
+        if left:
+            self.pieces.appendleft(left)
+        if right:
+            self.pieces.append(right)
+        return self
+
+
+_MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "kbd": "`", "samp": "`"}
+
+
+def _leaf(node: Node | str) -> Rope | None:
+    """What is known without the children; None where they must be put together first."""
     if isinstance(node, str):
-        return _inline(node)
+        return Rope(_inline(node))
     if _dropped(node):
-        return ""
+        return Rope()
     if node.tag == "math":
         fence = "$$" if node.attrs.get("display") == "block" else "$"
-        return f"{fence}{_source(node)}{fence}"
+        return Rope(f"{fence}{_source(node)}{fence}")
     if node.tag == "table" and {"ltx_equation", "ltx_equationgroup"} & set(node.classes):
         formulas = [_source(m) for m in node.walk() if m.tag == "math"]
-        return "\n\n" + " ".join(f"$${f}$$" for f in formulas if f) + "\n\n"
-    if node.tag == "table":
-        return "\n\n" + _table(node) + "\n\n"
+        return Rope("\n\n" + " ".join(f"$${f}$$" for f in formulas if f) + "\n\n")
     if node.tag == "pre":
-        return "\n\n```\n" + "".join(_raw(c) for c in node.children).strip("\n") + "\n```\n\n"
+        return Rope("\n\n```\n" + node.raw().strip("\n") + "\n```\n\n")
     if node.tag == "br":
-        return "  \n"
+        return Rope("  \n")
     if node.tag == "hr":
-        return "\n\n---\n\n"
-    inner = "".join(_plain(c) for c in node.children)
-    if m := re.fullmatch(r"h([1-6])", node.tag):
-        return f"\n\n{'#' * int(m[1])} {_inline(inner).strip()}\n\n" if inner.strip() else ""
-    if node.tag in ("b", "strong") and inner.strip():
-        return _around(inner, "**")
-    if node.tag in ("i", "em") and inner.strip():
-        return _around(inner, "*")
-    if node.tag in ("code", "kbd", "samp") and inner.strip():
-        return _around(inner, "`")
+        return Rope("\n\n---\n\n")
+    return None
+
+
+def _wrapped(node: Node, inner: Rope, rows: list[list[str]]) -> Rope:
+    """A node's text from that of its children; ``rows`` are the finished rows of a table."""
+    if node.tag == "table":
+        return Rope("\n\n" + _table(rows) + "\n\n")
+    if re.fullmatch("h[1-6]", node.tag):
+        title = _inline(str(inner)).strip()
+        return Rope(f"\n\n{'#' * int(node.tag[1])} {title}\n\n") if title else Rope()
+    if node.tag in _MARKS:
+        left, right = inner.stripped()
+        mark = _MARKS[node.tag] if inner.pieces else ""
+        return inner.around(left + mark, mark + right)
     if node.tag == "li":
-        return f"\n* {inner.strip()}"
+        inner.stripped()
+        return inner.around("\n* ", "")
     if node.tag == "blockquote":
-        return "\n\n" + "\n".join(f"> {x}".rstrip() for x in inner.strip().split("\n")) + "\n\n"
+        inner.stripped()
+        return Rope("\n\n" + "\n".join(f"> {x}".rstrip() for x in str(inner).split("\n")) + "\n\n")
     if node.tag in _BLOCKS:
-        return f"\n\n{inner.strip()}\n\n"
+        inner.stripped()
+        return inner.around("\n\n", "\n\n")
     return inner
 
 
-def _around(inner: str, mark: str) -> str:
-    left, right = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :]
-    return f"{left}{mark}{inner.strip()}{mark}{right}"
-
-
-def _raw(node: Node | str) -> str:
-    return node if isinstance(node, str) else "".join(_raw(c) for c in node.children)
-
-
-def _table(node: Node) -> str:
-    rows = []
-    for row in (n for n in node.walk() if n.tag == "tr"):
-        rows.append([_inline("".join(_plain(c) for c in cell.children)).strip() for cell in row.children if isinstance(cell, Node) and cell.tag in ("td", "th")])
+@dataclass
+class _Frame:
+    node: Node
+    left: Iterator
+    inner: Rope = field(default_factory=Rope)
+    rows: list[list[str]] = field(default_factory=list)  # of a table
+    cells: list[str] = field(default_factory=list)  # of a row
+
+
+def _plain(root: Node) -> str:
+    """Markdown of all that is below a node, whatever its depth."""
+    stack = [_Frame(root, iter(root.children))]
+    while True:
+        frame = stack[-1]
+        child = next(frame.left, None)
+        if child is not None:
+            made = _leaf(child)
+            if made is None:
+                stack.append(_Frame(child, iter(child.children)))
+            else:
+                frame.inner = frame.inner.followed(made)
+            continue
+        stack.pop()
+        if not stack:
+            return str(frame.inner)
+        node, parent = frame.node, stack[-1]
+        if node.tag in ("td", "th") and parent.node.tag == "tr":
+            parent.cells.append(_inline(str(frame.inner)).strip())
+        elif node.tag == "tr" and (table := next((f for f in reversed(stack) if f.node.tag == "table"), None)) is not None:
+            table.rows.append(frame.cells)
+        else:
+            parent.inner = parent.inner.followed(_wrapped(node, frame.inner, frame.rows))
+
+
+def _table(rows: list[list[str]]) -> str:
     rows = [r for r in rows if r]
     if not rows:
         return ""
@@ -148,7 +249,7 @@ def to_markdown(html: str | None, title: str | None, article_class: str = "ltx_d
     article = next((n for n in tree(html).walk() if n.tag == "article" and (not article_class or article_class in n.classes)), None)
     if article is None:
         return None
-    body = "".join(_plain(c) for c in article.children)
+    body = _plain(article)
     body = "\n".join(line.rstrip() for line in body.split("\n"))
     body = re.sub(r"\n{3,}", "\n\n", body)
     return f"# {(title or '').strip()}\n\n{body.strip()}\n"

@@ -10,33 +10,56 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
-# Fixed value: what counts as a fenced block of JSON.
-_FENCED = re.compile(r"```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```", re.DOTALL)
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]]', re.DOTALL)
-_OPENER = re.compile(r"[{\[]")
+_FENCE = re.compile(r"```(?:json)?\s*([{\[])")
+_FENCE_ENDS = {"{": re.compile(r"\}\s*```"), "[": re.compile(r"\]\s*```")}
+_SIGN = re.compile(r'["{}\[\]]')
 _CLOSES = {"}": "{", "]": "["}
 _STRAY_COMMA = re.compile(r",(?=\s*[\]}])")
 
 
+def fenced(text: str) -> str | None:
+    """What the first fenced block holds that begins with a bracket and ends with one of its kind before a fence."""
+    for m in _FENCE.finditer(text):
+        if end := _FENCE_ENDS[m[1]].search(text, m.end()):
+            return text[m.start(1) : end.start() + 1]
+        if not any(e.search(text, m.end()) for e in _FENCE_ENDS.values()):
+            return None
+    return None
+
+
 def balanced(text: str) -> str | None:
     """The first bracketed span whose brackets match, strings skipped.
 
-    An opener whose span breaks off is given up, and the next opener after it is tried.
+    An opener whose span breaks off is given up, and the next opener after it is tried, be it inside of what
+    the one before took for a string. All openers are decided in one pass from the end: ``reach[i]`` is the
+    place of the bracket that ends the level which is read from sign i on, outside of strings.
     """
-    at = 0
-    while m := _OPENER.search(text, at):
-        start = m.start()
-        open_: list[str] = []
-        for token in _TOKEN.finditer(text, start):
-            sign = token.group()
-            if sign in ("{", "["):
-                open_.append(sign)
-            elif sign in _CLOSES:
-                if not open_ or open_.pop() != _CLOSES[sign]:
-                    break
-                if not open_:
-                    return text[start : token.end()]
-        at = start + 1
+    signs = [(m.start(), m.group()) for m in _SIGN.finditer(text)]
+    n = len(signs)
+    nothing = -1
+    after = [n] * (n + 1)  # the sign after a string that opens at a quote
+    closing = n  # the next quote that can close a string
+    reach = [nothing] * (n + 1)
+    whole = [nothing] * n  # the sign that closes an opener's span
+    for i in range(n - 1, -1, -1):
+        at, sign = signs[i]
+        if sign == '"':
+            after[i] = closing + 1 if closing < n else n
+            reach[i] = reach[after[i]]
+            back = at
+            while back and text[back - 1] == "\\":
+                back -= 1
+            if (at - back) % 2 == 0:
+                closing = i
+        elif sign in _CLOSES:
+            reach[i] = i
+        else:
+            end = reach[i + 1]
+            if end != nothing and _CLOSES[signs[end][1]] == sign:
+                whole[i], reach[i] = end, reach[end + 1]
+    for i, end in enumerate(whole):
+        if end != nothing:
+            return text[signs[i][0] : signs[end][0] + 1]
     return None
 
 
@@ -48,12 +71,11 @@ def extract(text: str | None) -> str | None:
     if text is None:
         return None
     bare = text.strip()
-    fenced = _FENCED.search(bare)
-    found = fenced[1] if fenced else balanced(bare) or bare
+    found = fenced(bare) or balanced(bare) or bare
     for candidate in (found, _STRAY_COMMA.sub("", found)):
         try:
             json.loads(candidate)
-        except ValueError:
+        except (ValueError, RecursionError):  # brackets nested beyond what the parser takes
             continue
         return candidate
     return None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """Null counts as blank."""
-    return F.coalesce(collapse(text), F.lit("")) == ""
+    """Null counts as blank. One other character decides; nothing is rewritten."""
+    return ~F.coalesce(text.rlike(f"[^{SPACE[1:-1]}]"), F.lit(False))
 
 
 def dedupe_key(text: Column) -> Column:
@@ -30,7 +32,9 @@ def dedupe_key(text: Column) -> Column:
 
 def snippet(text: Column, limit: int = 300) -> Column:
     """Collapsed and at most ``limit`` long; a cut text ends in three dots."""
-    flat = collapse(text)
+    # Enough of the text for ``limit`` characters is collapsed; runs of white space may make that all of it.
+    head = F.regexp_extract(text, rf"\A{SPACE}*+(?:[^{SPACE[1:-1]}]{SPACE}*+){{0,{limit + 1}}}+", 0)
+    flat = collapse(head)
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 3), F.lit("...")))
 
 
@@ -95,16 +99,36 @@ def markdown_title(text: Column, fallback: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), fallback)
 
 
-_CONTEXT_WORDS = "context length|context window|maximum context|too many tokens|prompt is too long|input is too long"
-_STATUS_WORDS = "rate limit|overloaded|timed? ?out|temporarily unavailable|bad gateway|service unavailable|connection (?:reset|refused|error)"
+# What an error message says when a prompt is too long for a model, and how a gateway quotes the status behind its own.
+CONTEXT_WORDS = r"context.length|maximum model length|prompt is too long|too many tokens|context_length_exceeded|input is too long"
+UPSTREAM = r"upstream error ([0-9]{3})"
 
 
 def error_class(status: Column, message: Column) -> Column:
-    """``context_length``, ``auth``, ``transient`` or ``other`` from an HTTP status and an error message."""
-    low = F.lower(F.coalesce(message, F.lit("")))
+    """``context_length``, ``auth``, ``transient`` or ``other`` from an HTTP status and an error message.
+
+    A gateway's 5xx that quotes the status behind it counts as that one. 408, 409, 429 and 5xx may pass; 413, and
+    400 where the message says so, mean that the prompt is too long. Without a status (no connection, no
+    readable reply) an error may pass too.
+    """
+    said = F.coalesce(message, F.lit(""))
+    quoted = F.nullif(F.regexp_extract(said, UPSTREAM, 1), F.lit("")).cast("int")
+    code = F.when(status >= 500, F.coalesce(quoted, status)).otherwise(status)
     return (
-        F.when(low.rlike(_CONTEXT_WORDS), "context_length")
-        .when(status.isin(401, 403), "auth")
-        .when(status.isin(408, 409, 429) | (status >= 500) | low.rlike(_STATUS_WORDS), "transient")
+        F.when(code.isNull() | code.isin(408, 409, 429) | (code >= 500), "transient")
+        .when((code == 413) | ((code == 400) & said.rlike(f"(?i){CONTEXT_WORDS}")), "context_length")
+        .when(code.isin(401, 403), "auth")
         .otherwise("other")
     )
+
+
+def classify(status: int | None, message: str | None) -> str:
+    """The rule of ``error_class`` for one error, where it is raised."""
+    said = message or ""
+    quoted = re.search(UPSTREAM, said)
+    code = int(quoted[1]) if status is not None and status >= 500 and quoted else status
+    if code is None or code in (408, 409, 429) or code >= 500:
+        return "transient"
+    if code == 413 or code == 400 and re.search(CONTEXT_WORDS, said, re.IGNORECASE):
+        return "context_length"
+    return "auth" if code in (401, 403) else "other"

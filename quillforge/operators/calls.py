@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -15,8 +16,16 @@ from pyspark.sql import functions as F
 #: Attempts of one call and the bounds of the wait between them, in seconds.
 ATTEMPTS, WAIT_LEAST, WAIT_MOST = 4, 2.0, 60.0
 
-REPLY = "struct<text:string,error_class:string,error:string,truncated:boolean,model:string,prompt_tokens:bigint,completion_tokens:bigint,usage_missing:boolean,latency_s:double>"
-_FIELDS = ("text", "error_class", "error", "truncated", "model", "prompt_tokens", "completion_tokens", "usage_missing", "latency_s")
+REPLY = (
+    "struct<text:string,error_class:string,error:string,truncated:boolean,model:string,prompt_tokens:bigint,completion_tokens:bigint,"
+    "reasoning_tokens:bigint,cached_tokens:bigint,usage_missing:boolean,latency_s:double>"
+)
+_COUNTS = ("prompt_tokens", "completion_tokens", "reasoning_tokens", "cached_tokens")
+_FIELDS = ("text", "error_class", "error", "truncated", "model", *_COUNTS, "usage_missing", "latency_s")
+#: Tasks that a step's calls are dealt to, and calls that each of them has under way at once.
+TASKS, AT_ONCE = 32, 8
+#: Prompts whose replies a task holds before it hands them on.
+HELD = 64
 
 
 @dataclass(frozen=True)
@@ -26,6 +35,8 @@ class Reply:
     model: str = "scripted"
     prompt_tokens: int | None = None
     completion_tokens: int | None = None
+    reasoning_tokens: int | None = None
+    cached_tokens: int | None = None
 
 
 class ModelError(RuntimeError):
@@ -65,26 +76,31 @@ def call_once(models: Models, role: str, system: str, user: str, attempt: int, s
                 continue
             return dict.fromkeys(_FIELDS) | {"error_class": e.kind, "error": str(e), "truncated": False, "latency_s": round(time.monotonic() - began, 3)}
         return {
-            "text": r.text, "error_class": None, "error": None, "truncated": r.truncated, "model": r.model, "prompt_tokens": r.prompt_tokens,
-            "completion_tokens": r.completion_tokens, "usage_missing": r.prompt_tokens is None, "latency_s": round(time.monotonic() - began, 3),
+            "text": r.text, "error_class": None, "error": None, "truncated": r.truncated, "model": r.model, **{k: getattr(r, k) for k in _COUNTS},
+            "usage_missing": r.prompt_tokens is None, "latency_s": round(time.monotonic() - began, 3),
         }
     raise AssertionError
 
 
-def ask(rows: DataFrame, models: Models, role: str, system: str, user: str, attempt: str | None = None, name: str = "reply") -> DataFrame:
+def ask(rows: DataFrame, models: Models, role: str, system: str, user: str, attempt: str | None = None, name: str = "reply", tasks: int = TASKS, at_once: int = AT_ONCE) -> DataFrame:
     """``rows`` with a reply to the prompt in column ``user``; write the result before using it.
 
     ``system`` is the role's fixed prompt, ``attempt`` an integer column (samples of one prompt differ
-    by it). Partitions are the degree of concurrency.
+    by it). Rows are dealt out evenly to ``tasks`` tasks, since small written tables come back as few
+    partitions; each has ``at_once`` calls under way. Replies are handed on in lots of ``HELD``, so a task
+    holds few of them; one that is lost and runs again asks its part of the prompts again.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            tries = b["__attempt"].tolist()
-            b[name] = [call_once(models, role, system, u, int(a)) for u, a in zip(b[user], tries, strict=True)]
-            yield b.drop(columns="__attempt")
-
-    given = rows.withColumn("__attempt", F.col(attempt).cast("int") if attempt else F.lit(0))
+        with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+            for whole in batches:
+                for start in range(0, len(whole), HELD):
+                    b = whole.iloc[start : start + HELD].copy()
+                    pairs = list(zip(b[user], b["__attempt"].tolist(), strict=True))
+                    b[name] = list(pool.map(lambda x: call_once(models, role, system, x[0], int(x[1])), pairs))
+                    yield b.drop(columns="__attempt")
+
+    given = rows.withColumn("__attempt", F.col(attempt).cast("int") if attempt else F.lit(0)).repartition(tasks)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return given.mapInPandas(run, f"{fields}, `{name}` {REPLY}")
 
@@ -93,11 +109,9 @@ def usage_rows(replied: DataFrame, role: str, name: str = "reply") -> DataFrame:
     """A usage row for every answered call."""
     r = lambda f: F.col(f"{name}.{f}")
     answered = replied.where(r("error_class").isNull() & F.col(name).isNotNull())
-    none = F.lit(None).cast("bigint")
     return answered.select(
-        F.lit(role).alias("role"), r("model").alias("model"), r("prompt_tokens").alias("prompt_tokens"), r("completion_tokens").alias("completion_tokens"),
-        none.alias("reasoning_tokens"), none.alias("cached_tokens"), r("usage_missing").alias("usage_missing"), r("latency_s").alias("latency_s"),
-        F.when(r("truncated"), "length").otherwise("stop").alias("finish_reason"),
+        F.lit(role).alias("role"), r("model").alias("model"), *[F.coalesce(r(k), F.lit(0)).alias(k) for k in _COUNTS], r("usage_missing").alias("usage_missing"),
+        r("latency_s").alias("latency_s"), F.when(r("truncated"), "length").otherwise("stop").alias("finish_reason"),
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +12,32 @@ from ..functions.text import dedupe_key
 
 
 def hash_order(seed: int, key: str) -> Column:
-    """A shuffle that any engine repeats: the MD5 of seed and key."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    """A shuffle that any engine repeats: the MD5 of seed and key; a null key is the empty text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
 
 def first_wins(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """One row of each dedupe key: the first in ``order``.
+    """One row of each dedupe key: the first in ``order`` (null orders come first, as any value counts).
 
     Rows are reduced by key (partial minima before the shuffle), so a question that repeats very often
-    is no hot group and no text but the key's digest travels.
+    is no hot group and no text but the key's digest travels. Null and blank texts are one key. Of rows that
+    agree in key and order one stays, the least by its text; rows that agree in all columns are one.
     """
+    key_, at_ = _free(rows, "__key"), _free(rows, "__at")
     key = F.md5(F.coalesce(dedupe_key(F.col(text)), F.lit("")))
-    first = rows.select(key.alias("__key"), F.struct(*order).alias("__at")).groupBy("__key").agg(F.min("__at").alias("__at"))
-    keys = first.select(*[F.col(f"__at.{c}").alias(c) for c in order])
-    return rows.join(keys, order, "left_semi")
+    tie = F.sha1(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    keyed = rows.withColumn(key_, F.struct(key.alias("key"), *order, tie.alias("tie")))
+    first = keyed.groupBy(F.col(f"{key_}.key").alias("key")).agg(F.min(key_).alias(at_)).select(at_)
+    same = [F.col(f"{key_}.{c}").eqNullSafe(F.col(f"{at_}.{c}")) for c in ("key", *order, "tie")]
+    won = keyed.join(first, reduce(and_, same), "left_semi")
+    # What agrees in key, order and text still repeats: one row of each, any.
+    return won.dropDuplicates([key_]).drop(key_)
+
+
+def _free(rows: DataFrame, name: str) -> str:
+    while name in rows.columns:
+        name += "_"
+    return name
 
 
 def paper_counts(rows: DataFrame, paper: str) -> DataFrame:
@@ -40,10 +55,12 @@ def test_papers(rows: DataFrame, paper: str, n_test: int, seed: int = 42) -> Dat
 
 
 def split_by_paper(rows: DataFrame, paper: str, n_test: int, seed: int = 42, check: bool = True) -> DataFrame:
-    """``rows`` with split; no paper is in both. Needs more rows than ``n_test``."""
+    """``rows`` with split; no paper is in both. Needs more rows than ``n_test``. Rows without a paper are one paper."""
     if check and rows.count() <= n_test:
         raise ValueError(f"a test split of {n_test} needs more rows than that")
-    return rows.join(test_papers(rows, paper, n_test, seed), paper)
+    own = _free(rows, "__paper")
+    papers = test_papers(rows, paper, n_test, seed).withColumnRenamed(paper, own)
+    return rows.join(papers, F.col(paper).eqNullSafe(F.col(own))).drop(own)
 
 
 def split_papers(papers: DataFrame, paper: str, n_train: int, n_val: int, seed: int = 42, check: bool = True) -> DataFrame:

@@ -7,13 +7,15 @@ sources papers, labels are verifier verdicts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import Checkpoints
 from ..functions import gates, html, json_text, scoring, text, verdict
-from ..operators import dataset, history, metrics, sampling
+from ..operators import dataset, digest, history, metrics, rewards, sampling
 from ..shipping import ship
-from . import inner_loop
+from ..sources import readers, sinks
+from . import inner_loop, prompts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -252,10 +254,11 @@ def answer_text(spark, sf_dir):
 
 
 def error_taxonomy(spark, sf_dir):
+    # 200 stands for a call that got no answer, so it has no status.
     status = (F.col("event_id") % 6).cast("int")
     code = F.element_at(F.array(*[F.lit(x) for x in (400, 401, 429, 503, 200, 400)]), status + 1)
     message = F.element_at(F.array(*[F.lit(x) for x in ("maximum context length is 10", "no key", "slow down", "", "Connection error.", "bad field")]), status + 1)
-    return read(spark, sf_dir, "events").groupBy(text.error_class(code, message).alias("error_class")).agg(F.count(F.lit(1)).alias("n"))
+    return read(spark, sf_dir, "events").groupBy(text.error_class(F.nullif(code, F.lit(200)), message).alias("error_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def html_to_markdown(spark, sf_dir):
@@ -282,6 +285,175 @@ def inner_loop_scripted(spark, sf_dir):
     return rounds.groupBy("iteration", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _written(spark, name: str) -> str:
+    """A new folder of the shared checkpoint folder, for queries that go through files."""
+    return f"{Checkpoints(spark).base}/{name}"
+
+
+def stop_outcomes(spark, sf_dir):
+    """Users as papers, their events as rounds in order: what stopped them."""
+    events = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    return events.select("user_id", gates.stops(F.transform("e", lambda x: x["event_type"])).alias("stopped_by"))
+
+
+def sample_failures(spark, sf_dir):
+    """Order lines as samples: the first technical failure, samples to buy again, and the note on cut-off ones."""
+    feedback = F.when(F.col("l_tax") > 0.04, F.concat(F.lit("solver_error: "), F.col("l_linenumber").cast("string"))).otherwise("judge down")
+    sample = F.struct("l_linenumber", "l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("infra_error"), feedback.alias("judge_feedback"), (F.col("l_discount") > 0.07).alias("truncated"))
+    per = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(sample)).alias("samples"))
+    s = F.col("samples")
+    return per.select("l_orderkey", gates.first_infra_error(s).alias("first_error"), F.array_join(gates.to_rerun(s).cast("array<string>"), ",").alias("again"), gates.truncation_note(s, "weak").alias("note"))
+
+
+def jsonl_round_trip(spark, sf_dir):
+    """Turns written as JSON lines and read back by their schema."""
+    path = _written(spark, "turns.jsonl")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    sinks.write_jsonl(rows, path)
+    return readers.read_jsonl(spark, path, "conv_id bigint, turn bigint, role string, text string")
+
+
+def runs_union(spark, sf_dir):
+    """Two runs of questions on disk, read in the order given."""
+    base = _written(spark, "runs")
+    asked = read(spark, sf_dir, "documents").select(F.col("text").alias("question"), F.col("source").alias("paper_id"), "doc_id")
+    for i in (0, 1):
+        sinks.write_jsonl(asked.where(F.col("doc_id") % 2 == i).drop("doc_id"), f"{base}/r{i}/final_qa.jsonl")
+    return readers.read_runs(spark, [f"{base}/r1", f"{base}/r0"]).groupBy("run_ord", "paper_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def usage_logs(spark, sf_dir):
+    """Calls written as two usage logs, read as one table and summed by role."""
+    base, rows = _written(spark, "usage"), _calls(spark, sf_dir).drop("event_id").withColumn("finish_reason", F.lit("stop"))
+    sinks.append_jsonl(rows.where("role <> 'error'"), f"{base}/a.jsonl")
+    sinks.append_jsonl(rows.where("role = 'error'"), f"{base}/b.jsonl")
+    read_back = readers.read_usage(spark, [f"{base}/a.jsonl", f"{base}/b.jsonl"])
+    return metrics.usage_totals(read_back, "model").drop("model").withColumn("latency_s", _r(F.col("latency_s"), 3))
+
+
+def prompt_render(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    made = prompts.rendered("$name: $$$size, ${brand}/$name; $other $$", name=F.col("p_name"), size=F.col("p_size"), brand=F.col("p_brand"))
+    return part.select("p_partkey", made.alias("prompt"))
+
+
+def challenger_messages(spark, sf_dir):
+    """First turns and later ones of the challenger's message; nations stand for papers, their comments' absence for no history."""
+    feedback = F.when(F.col("n_nationkey") % 2 == 1, F.concat(F.lit("failed: $task "), F.col("n_name")))
+    made = prompts.PLAIN.challenger(F.col("n_name"), F.col("n_nationkey").cast("string"), F.lit("text"), feedback)
+    return read(spark, sf_dir, "nation").select("n_nationkey", made.alias("message"))
+
+
+def _criteria(sf_dir, spark):
+    lines = read(spark, sf_dir, "lineitem")
+    weight = (F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * (F.col("l_partkey") % 10 + 1)).cast("int")
+    c = F.struct(F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("criterion"), weight.alias("weight"), F.when(weight > 0, "positive").otherwise("negative").alias("category"))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_discount", c.alias("c"))
+    return lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(order)).alias("o"))
+
+
+def rubric_json(spark, sf_dir):
+    """Rubrics as the JSON that prompts show."""
+    ship(spark)
+    return _criteria(sf_dir, spark).select("l_orderkey", json_text.prompt_json(F.transform("o", lambda x: x["c"])).alias("rubric"))
+
+
+def criterion_matrix(spark, sf_dir):
+    """A row for each criterion of an order with the scores of its two samples; the second lacks its last score."""
+    one = F.transform("o", lambda x: x["l_discount"] * 10)
+    samples = F.array(F.struct(one.alias("per_criterion")), F.struct(F.slice(one, 1, F.size(one) - 1).alias("per_criterion")))
+    rounds = _criteria(sf_dir, spark).select("l_orderkey", F.transform("o", lambda x: x["c"]).alias("criteria"), samples.alias("samples"))
+    found = digest.criterion_scores(rounds, "criteria", "samples", ["l_orderkey"])
+    return found.select("l_orderkey", F.col("k").alias("k"), "criterion", "weight", _r(F.col("scores")[0]).alias("first"), _r(F.col("scores")[1]).alias("second"))
+
+
+def reply_verdicts(spark, sf_dir):
+    """Labels as verifier replies in JSON: what passes, what is wrong, and feedback with the rubric's issues."""
+    labels = read(spark, sf_dir, "labels")
+    say = lambda good, a, b: F.when(good, F.lit(a)).otherwise(F.lit(b))
+    reply = F.concat(
+        F.lit('{"check_1_verdict": "'), say(F.col("toxic") == 0, " no_leakage", "LEAKAGE"), F.lit('", "check_2_verdict": '), say(F.col("quality") == 1, '"Good"', "7"),
+        F.lit(', "check_3_verdict": "PASS", "check_3_issues": ["thin"], "check_4_verdict": "CONSISTENT", "overall": "pass", "feedback": "id '), F.col("doc_id").cast("string"), F.lit('"'), say(F.col("doc_id") % 7 > 0, "}", ""),
+    )
+    v = verdict.verdict(reply)
+    return labels.select("doc_id", v["passed"].alias("passed"), F.array_join(v["issues"], ",").alias("issues"), v["feedback"].alias("feedback"))
+
+
+def round_outcomes(spark, sf_dir):
+    """Every event as a round whose steps went wrong by the digits of its number."""
+    bit = lambda n: (F.col("event_id") % n == 0)
+    gate = F.when(bit(2), "too_easy").when(bit(3), "accepted").otherwise("failed_on_strong")
+    made = gates.round_outcome(bit(31), bit(13), bit(17), bit(19), ~bit(7), bit(11), bit(5), gate)
+    return read(spark, sf_dir, "events").select("event_id", made.alias("outcome"))
+
+
+def minibatch_papers(spark, sf_dir):
+    return dataset.minibatch(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 20, 7)
+
+
+def variant_ancestry(spark, sf_dir):
+    """Nations as variants: half of a number is its parent."""
+    rows = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("variant_id"), F.when(F.col("n_nationkey") > 0, F.floor(F.col("n_nationkey") / 2)).alias("parent_id"))
+    return sampling.ancestry(rows)
+
+
+def child_acceptance(spark, sf_dir):
+    """Is a customer's highest price above the mean of all, each rounded to whole units?"""
+    price = F.round("o_totalprice").cast("double")
+    per = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(price).alias("scores"), F.max(price).alias("child"))
+    return per.select("o_custkey", metrics.accepts(F.col("child"), F.col("scores")).alias("accepted"))
+
+
+def chat_prompt_table(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    made = rewards.chat_prompts(parts, "be brief", F.concat(F.lit("about "), F.col("p_name")), ["p_partkey"])
+    return made.select("qa_id", "p_partkey", F.array_join(F.transform("prompt", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|").alias("prompt"))
+
+
+def chat_answers(spark, sf_dir):
+    """Answers of chat completions whose last message is marked, split or plain by its turn."""
+    rows = read(spark, sf_dir, "conversations")
+    content = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("so</think> "), F.col("text"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("<think>"), F.col("text"))).otherwise(F.col("text"))
+    messages = F.array(F.struct(F.lit("user").alias("role"), F.lit("<think>").alias("content")), F.struct(F.lit("assistant").alias("role"), content.alias("content")))
+    return rows.select("conv_id", "turn", text.chat_answer_text(messages, True).alias("answer"))
+
+
+def paper_titles(spark, sf_dir):
+    """The first heading of a text made around each document's source, or its id."""
+    body = F.concat(F.lit("intro\n"), F.when(F.col("doc_id") % 3 == 0, "#no heading").otherwise(F.concat(F.lit("  #  "), F.col("source"), F.lit(" \n# second"))))
+    return read(spark, sf_dir, "documents").select("doc_id", text.markdown_title(body, F.col("doc_id").cast("string")).alias("title"))
+
+
+def earlier_questions(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("question"))
+    return history.earlier_failures(rows, "conv_id", "turn").select("conv_id", "turn", F.array_join("earlier", ",").alias("earlier"))
+
+
+def papers_on_disk(spark, sf_dir):
+    """Documents as Markdown-like rows through the reader's filters: blank texts are left out, the rest keep their length."""
+    docs = read(spark, sf_dir, "documents")
+    return docs.where(~text.is_blank(F.col("text"))).select("doc_id", F.length(text.strip(F.col("text"))).alias("chars"))
+
+
+def session_texts(spark, sf_dir):
+    """Users as sessions: what the analyser reads about each, from plain rounds of errors and malformed replies."""
+    events = read(spark, sf_dir, "events")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    nothing = lambda ddl: F.lit(None).cast(ddl)
+    sample = "array<struct<answer:string,per_criterion:array<double>,weighted_score:double,judge_feedback:string,truncated:boolean>>"
+    qa = "struct<question_type:string,skill_tags:array<string>,context:string,question:string,reference_answer:string,criteria:array<struct<criterion:string,weight:int,category:string>>>"
+    rounds = events.select(
+        F.col("user_id").cast("string").alias("paper_id"), place.cast("int").alias("iteration"), F.when(F.col("event_type") == "error", "error").otherwise("malformed").alias("outcome"), nothing(qa).alias("qa"),
+        nothing("struct<passed:boolean,feedback:string,issues:array<string>>").alias("qv_verdict"), nothing(sample).alias("weak_samples"), nothing(sample).alias("strong_samples"),
+        *[nothing("double").alias(c) for c in ("weak_avg", "weak_max", "strong_avg", "gap")], nothing("array<string>").alias("reasons"), F.col("event_type").alias("error"),
+    )
+    sessions = events.select("user_id").distinct().select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("user_id").cast("string").alias("paper_id"), F.lit("T").alias("title"), (F.col("user_id") % 2 == 0).alias("passed"),
+        F.when(F.col("user_id") % 3 == 0, "crash").alias("stopped_by"), nothing("struct<passed:boolean,issues:array<string>,feedback:string>").alias("final_filter"),
+    )
+    return digest.session_digests(rounds, sessions)
+
+
 _SCORES = "CAST(l_discount * 10 AS DOUBLE)"
 _GATE = f"""
     WITH g AS (
@@ -302,6 +474,7 @@ _PAPERS = """
     c AS (SELECT source, coalesce(sum(n) OVER (ORDER BY h, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p),
     s AS (SELECT doc_id, d.source, CASE WHEN b < 100 THEN 'test' ELSE 'train' END AS split FROM documents d JOIN c ON d.source = c.source)
 """
+_NL = "chr(10) || chr(10)"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _MODE = "CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END"
 
@@ -399,6 +572,57 @@ ORACLES = {
         SELECT conv_id, turn, CASE WHEN role = 'user' THEN '' ELSE {_STRIP.format('text')} END AS answer, role <> 'user' AS finished FROM conversations""",
     "error_taxonomy": """
         SELECT CASE event_id % 6 WHEN 0 THEN 'context_length' WHEN 1 THEN 'auth' WHEN 5 THEN 'other' ELSE 'transient' END AS error_class, count(*) AS n FROM events GROUP BY 1""",
+    "stop_outcomes": "SELECT user_id, CASE WHEN e = 'error' THEN e END AS stopped_by FROM (SELECT user_id, arg_max(event_type, row(ts, event_id)) AS e FROM events GROUP BY user_id)",
+    "sample_failures": f"""
+        WITH l AS (SELECT l_orderkey, row_number() OVER w - 1 AS i, l_returnflag = 'R' AS bad, l_discount > {_D.format(0.07)} AS cut,
+                          CASE WHEN l_tax > {_D.format(0.04)} THEN 'solver_error: ' || CAST(l_linenumber AS VARCHAR) ELSE 'judge down' END AS f
+                   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+        SELECT l_orderkey, arg_min(f, i) FILTER (bad) AS first_error, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (bad AND f LIKE 'solver_error%'), '') AS again,
+               CASE WHEN count(*) FILTER (cut) > 0 THEN '; ' || CAST(count(*) FILTER (cut) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR) || ' weak attempts hit the token budget' ELSE '' END AS note
+        FROM l GROUP BY l_orderkey""",
+    "jsonl_round_trip": "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations",
+    "runs_union": "SELECT CAST(1 - doc_id % 2 AS INTEGER) AS run_ord, source AS paper_id, count(*) AS n FROM documents GROUP BY 1, 2",
+    "usage_logs": f"""
+        SELECT event_type AS role, count(*) AS calls, count(*) FILTER ({_K} = 0) AS usage_missing, round(sum(value), 3) AS latency_s, CAST(sum({_K}) AS BIGINT) AS prompt_tokens,
+               CAST(sum({_K} * 2) AS BIGINT) AS completion_tokens, CAST(sum(CASE WHEN {_K} % 2 = 0 THEN {_K} ELSE 0 END) AS BIGINT) AS reasoning_tokens, CAST(0 AS BIGINT) AS cached_tokens FROM events GROUP BY 1""",
+    "prompt_render": "SELECT p_partkey, p_name || ': $' || CAST(p_size AS VARCHAR) || ', ' || p_brand || '/' || p_name || '; $other $' AS prompt FROM part",
+    "challenger_messages": f"""
+        SELECT n_nationkey, n_name || {_NL} || CAST(n_nationkey AS VARCHAR) || {_NL} || 'text' || {_NL} || CASE WHEN n_nationkey % 2 = 1
+                   THEN 'failed: $task ' || n_name || {_NL} || 'Write an entirely new question from another side, as JSON.' ELSE 'Write a question and a rubric as JSON.' END AS message FROM nation""",
+    "rubric_json": """
+        WITH l AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * (l_partkey % 10 + 1) AS w FROM lineitem)
+        SELECT l_orderkey, '[' || string_agg('{"criterion": "c' || CAST(l_partkey AS VARCHAR) || '", "weight": ' || CAST(w AS VARCHAR) || ', "category": "' || CASE WHEN w > 0 THEN 'positive' ELSE 'negative' END || '"}',
+                                             ', ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount) || ']' AS rubric FROM l GROUP BY l_orderkey""",
+    "criterion_matrix": f"""
+        WITH l AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount))
+        SELECT l_orderkey, CAST(k AS INTEGER) AS k, 'c' || CAST(l_partkey AS VARCHAR) AS criterion, CAST(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * (l_partkey % 10 + 1) AS INTEGER) AS weight,
+               round({_SCORES}, 6) AS first, CASE WHEN k < n - 1 THEN round({_SCORES}, 6) END AS second FROM l""",
+    "reply_verdicts": """
+        SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN toxic = 0 AND quality = 1 END AS passed,
+               CASE WHEN doc_id % 7 > 0 THEN concat_ws(',', CASE WHEN toxic <> 0 THEN 'check_1_verdict=LEAKAGE' END, CASE WHEN quality <> 1 THEN 'check_2_verdict=MISSING' END) END AS issues,
+               CASE WHEN doc_id % 7 > 0 THEN 'id ' || CAST(doc_id AS VARCHAR) || chr(10) || 'Rubric issues: thin' END AS feedback FROM labels""",
+    "round_outcomes": """
+        SELECT event_id, CASE WHEN event_id % 31 = 0 THEN 'paper_too_long' WHEN event_id % 13 = 0 THEN 'malformed' WHEN event_id % 17 = 0 THEN 'error' WHEN event_id % 19 = 0 THEN 'infra_error'
+                              WHEN event_id % 7 = 0 THEN 'failed_qv' WHEN event_id % 11 = 0 THEN 'infra_error' WHEN event_id % 2 = 0 THEN 'too_easy' WHEN event_id % 5 = 0 THEN 'infra_error'
+                              WHEN event_id % 3 = 0 THEN 'accepted' ELSE 'failed_on_strong' END AS outcome FROM events""",
+    "minibatch_papers": "SELECT doc_id FROM documents ORDER BY md5(concat('7:', CAST(doc_id AS VARCHAR))), doc_id LIMIT 20",
+    "variant_ancestry": """
+        WITH RECURSIVE v AS (SELECT CAST(n_nationkey AS BIGINT) AS variant_id, CAST(n_nationkey // 2 AS BIGINT) AS parent_id FROM nation WHERE n_nationkey > 0),
+        a AS (SELECT variant_id, parent_id AS ancestor_id, 1 AS depth FROM v UNION ALL SELECT a.variant_id, v.parent_id, depth + 1 FROM a JOIN v ON a.ancestor_id = v.variant_id)
+        SELECT variant_id, ancestor_id, depth FROM a""",
+    "child_acceptance": "SELECT o_custkey, max(p) > sum(p) / count(*) AS accepted FROM (SELECT o_custkey, round(o_totalprice) AS p FROM orders) GROUP BY o_custkey",
+    "chat_prompt_table": "SELECT 'q' || CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS VARCHAR) AS qa_id, p_partkey, 'system=be brief|user=about ' || p_name AS prompt FROM part",
+    "chat_answers": f"SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '' ELSE {_STRIP.format('text')} END AS answer FROM conversations",
+    "paper_titles": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE source END AS title FROM documents",
+    "earlier_questions": """
+        SELECT conv_id, turn, coalesce(string_agg(role, ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS earlier FROM conversations""",
+    "papers_on_disk": f"SELECT doc_id, CAST(length(t) AS INTEGER) AS chars FROM (SELECT doc_id, {_STRIP.format('text')} AS t FROM documents) WHERE t <> ''",
+    "session_texts": """
+        WITH e AS (SELECT user_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+        r AS (SELECT user_id, string_agg(CASE WHEN t = 'error' THEN '--- Round ' || CAST(i AS VARCHAR) || ' | stopped by infrastructure (left out) ---'
+                                              ELSE '--- Round ' || CAST(i AS VARCHAR) || ' | malformed ---' || chr(10) || t END, chr(10) ORDER BY i) AS b FROM e GROUP BY user_id)
+        SELECT CAST(user_id AS VARCHAR) AS session_id, 'paper ' || CAST(user_id AS VARCHAR) || ' "T" | ' || CASE WHEN user_id % 2 = 0 THEN 'PASSED' WHEN user_id % 3 = 0 THEN 'STOPPED (crash, left out)' ELSE 'FAILED' END
+               || ' ===' || chr(10) || b AS digest FROM r""",
     "extract_json": "SELECT conv_id, turn, turn AS found_turn, 2 AS n_tags FROM conversations",
 }
 
@@ -409,6 +633,7 @@ QUERIES = {
         split_by_paper, split_train_val, split_manifest, length_window_sha, snippet_300, clip_answer, blank_questions, verdict_gate, rubric_shape_issues, criterion_checks,
         history_text, failure_history, html_title, listing_ids, boltzmann_weights, first_tie_argmax, best_variant, sample_replication, running_parent_mean, accepted_children,
         papers_without_verdict, papers_with_verdict, reward_lookup, last_30_log, run_summary, judge_normalise, answer_text, error_taxonomy, html_to_markdown, extract_json,
-        inner_loop_scripted,
+        stop_outcomes, sample_failures, jsonl_round_trip, runs_union, usage_logs, prompt_render, challenger_messages, rubric_json, criterion_matrix, reply_verdicts, round_outcomes, minibatch_papers,
+        variant_ancestry, child_acceptance, chat_prompt_table, chat_answers, paper_titles, earlier_questions, papers_on_disk, session_texts, inner_loop_scripted,
     )
 }

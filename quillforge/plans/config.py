@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from ..functions.gates import Thresholds
@@ -18,6 +18,11 @@ class Role:
     thinking: bool = False
     reasoning_effort: str | None = None
     timeout_s: float = 600.0
+    top_p: float | None = None
+    top_k: int | None = None
+    presence_penalty: float | None = None
+    endpoint: str = ""
+    key_variable: str = ""
 
     def __post_init__(self):
         if self.thinking and self.reasoning_effort == "none":
@@ -48,6 +53,28 @@ class Meta:
     edit_retries: int = 2
 
 
+#: The roles whose thinking, budget and sampling are one setting, so that they differ by model only.
+SOLVERS = ("weak_solver", "strong_solver")
+
+
+@dataclass(frozen=True)
+class Generation:
+    """How both solvers generate; a file must give the first three."""
+
+    thinking: bool
+    max_tokens: int
+    temperature: float
+    top_p: float | None = None
+    top_k: int | None = None
+    presence_penalty: float | None = None
+
+
+def with_generation(roles: dict[str, Role], made: Generation) -> dict[str, Role]:
+    """The roles with both solvers' generation settings replaced."""
+    own = {f.name: getattr(made, f.name) for f in fields(Generation)}
+    return {name: replace(role, **own) if name in SOLVERS else role for name, role in roles.items()}
+
+
 @dataclass(frozen=True)
 class Settings:
     acceptance: Thresholds = field(default_factory=Thresholds)
@@ -81,6 +108,11 @@ def from_dict(values: dict[str, Any]) -> Settings:
         if name in values:
             out[name] = _pick(cls, values.pop(name), whole)
     out["roles"] = {k: _pick(Role, {"max_tokens": FILE_MAX_TOKENS, **v}) for k, v in values.pop("roles", {}).items()}
+    if "solver_generation" in values:
+        made = values.pop("solver_generation")
+        if missing := {"thinking", "max_tokens", "temperature"} - set(made):
+            raise ValueError(f"missing settings: {', '.join(sorted(missing))}")
+        out["roles"] = with_generation(out["roles"], _pick(Generation, made))
     return _pick(Settings, {**values, **out})
 
 

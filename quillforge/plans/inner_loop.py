@@ -1,13 +1,15 @@
 """The bounded loop generate, verify, answer, judge, over all papers at once.
 
 Every step is a table that is written before the next step reads it, so a later, dearer step only sees
-the rows that the earlier one let pass, and a lost executor never asks a model again. A round's
-``active`` papers shrink by the papers that were accepted or stopped.
+the rows that the earlier one let pass, and finished steps are never asked again when an executor is
+lost (a task that was under way is). A round's ``active`` papers shrink by the papers that were accepted
+or stopped. All texts that models see come from one ``PromptSet``.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -18,6 +20,7 @@ from ..functions import gates, json_text, scoring, text, verdict
 from ..operators.calls import Models, Reply, ask, stable_number
 from ..operators.history import render_history
 from ..sources.schemas import CRITERION
+from .prompts import PLAIN, PromptSet
 
 
 @dataclass(frozen=True)
@@ -28,6 +31,20 @@ class LoopConfig:
     thresholds: gates.Thresholds = field(default_factory=gates.Thresholds)
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Counts of criteria that the final filter asks for."""
+
+    least_positive: int = 4
+    least_negative: int = 3
+    least_total: int = 10
+    most_total: int = 20
+
+
+#: Gets each written table of replies and its role, e.g. to log their usage.
+Meter = Callable[[DataFrame, str], None]
+
+
 @dataclass(frozen=True)
 class ScriptedModels:
     """Offline models whose replies are a function of role, prompt and attempt."""
@@ -79,17 +96,19 @@ def _rubric_json(criteria):
     return json_text.prompt_json(criteria)
 
 
-def grade(questions: DataFrame, models: Models, solver: str, cfg: LoopConfig, saved: Checkpoints, name: str) -> DataFrame:
+def grade(questions: DataFrame, models: Models, solver: str, cfg: LoopConfig, saved: Checkpoints, name: str, prompts: PromptSet = PLAIN, meter: Meter | None = None) -> DataFrame:
     """paper_id and samples (in order) of a solver; only answers that failed are bought again.
 
     A cut-off empty answer scores 0 and isn't judged; another empty one, or a failed call, is a
     technical failure, as is a judge's reply that stays unusable.
     """
     base = questions.select("paper_id", F.col("qa.context").alias("context"), F.col("qa.question").alias("question"), F.col("qa.criteria").alias("criteria"))
-    todo = base.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(cfg.samples - 1)))).withColumn("prompt", F.concat_ws("\n\n", "context", "question"))
+    todo = base.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(cfg.samples - 1)))).withColumn("prompt", prompts.column("solver_user", context=F.col("context"), question=F.col("question")))
     answered = None
     for k in range(cfg.infra_retries + 1):
-        got = saved.save(ask(todo.withColumn("__try", F.col("sample") + F.lit(1000 * k)), models, solver, "Answer the question.", "prompt", "__try").drop("__try"), f"{name}-{solver}-{k}")
+        got = saved.save(ask(todo.withColumn("__try", F.col("sample") + F.lit(1000 * k)), models, solver, prompts.texts["solver_system"], "prompt", "__try").drop("__try"), f"{name}-{solver}-{k}")
+        if meter:
+            meter(got, solver)
         r = F.col("reply")
         blank = text.is_blank(r["text"]) & r["error_class"].isNull()
         got = got.withColumn("failed", r["error_class"].isNotNull() | (blank & ~F.coalesce(r["truncated"], F.lit(False))))
@@ -102,10 +121,12 @@ def grade(questions: DataFrame, models: Models, solver: str, cfg: LoopConfig, sa
         if todo.first() is None:
             break
     judged = answered.where(~F.col("failed") & ~text.is_blank(F.col("reply.text"))).withColumn("answer", F.col("reply.text")).withColumn("cut", F.col("reply.truncated")).drop("reply")
-    pending = judged.withColumn("prompt", F.concat_ws("\n\n", "context", "question", "answer", _rubric_json(F.col("criteria"))))
+    pending = judged.withColumn("prompt", prompts.column("judge_user", context=F.col("context"), question=F.col("question"), candidate_answer=F.col("answer"), rubric_json=_rubric_json(F.col("criteria"))))
     graded = None
     for k in range(cfg.infra_retries + 1):
-        got = saved.save(ask(pending.withColumn("__try", F.lit(k)), models, "judge", "Grade each criterion from 0 to 1.", "prompt", "__try").drop("__try"), f"{name}-{solver}-judge-{k}")
+        got = saved.save(ask(pending.withColumn("__try", F.lit(k)), models, "judge", prompts.texts["judge_system"], "prompt", "__try").drop("__try"), f"{name}-{solver}-judge-{k}")
+        if meter:
+            meter(got, "judge")
         found = json_text.extract_json(F.col("reply.text"))
         got = got.withColumn("__json", found)
         got = got.withColumn("scores", scoring.usable_scores(F.col("__json"), F.size("criteria"))).withColumn("feedback", scoring.judge_feedback(F.col("__json"))).drop("__json")
@@ -137,15 +158,42 @@ def _scores(samples):
     return F.transform(samples, lambda s: s["weighted_score"])
 
 
-def run_inner_loop(papers: DataFrame, models: Models, cfg: LoopConfig = LoopConfig()) -> DataFrame:
-    """One row a paper and round: paper_id, iteration, outcome, qa, weak_avg, weak_max, strong_avg, gap, reasons, accepted, error.
+def verifier_prompt(prompts: PromptSet):
+    """The verifier's message from title, text and qa; it never holds the reference answer."""
+    q = {k: F.col(f"qa.{k}") for k in ("question_type", "context", "question")}
+    return prompts.column("qv_user", paper_title=F.col("title"), paper_text=F.col("text"), **q, rubric_json=_rubric_json(F.col("qa.criteria")))
+
+
+def _fixed(x, places: int = 2):
+    return F.format_string(f"%.{places}f", x)
+
 
-    ``papers`` has paper_id (unique), title and text. A paper's loop ends when a question is accepted,
+def failure_detail(outcome):
+    """What a later round is told about a failed question: its scores or issues, and what the judge or verifier said.
+
+    Needs v, weak_avg, weak_max, weak_samples, strong_avg, strong_samples, gap and reasons.
+    """
+    best, worst = gates.first_best(F.col("weak_samples")), gates.first_best(F.col("strong_samples"), ascending=True)
+    said = lambda sample: F.concat(F.lit("; judge: "), F.coalesce(text.snippet(sample["judge_feedback"]), F.lit("")))
+    weak = F.concat(F.lit("weak_avg="), _fixed(F.col("weak_avg")), F.lit(" weak_max="), _fixed(F.col("weak_max")), gates.truncation_note(F.col("weak_samples"), "weak"), said(best))
+    strong = F.concat(
+        F.lit("strong_avg="), _fixed(F.col("strong_avg")), F.lit(" weak_avg="), _fixed(F.col("weak_avg")), F.lit(" gap="), _fixed(F.col("gap")), F.lit(" ("), F.array_join("reasons", "; "), F.lit(")"),
+        gates.truncation_note(F.col("strong_samples"), "strong"), said(worst),
+    )
+    verified = F.concat(F.lit("issues: "), F.array_join("v.issues", ", "), F.lit("; verifier: "), F.coalesce(text.snippet(F.col("v.feedback")), F.lit("")))
+    return F.when(outcome == "failed_qv", verified).when(outcome == "failed_on_strong", strong).when(outcome.isin("too_easy", "weak_zero"), weak)
+
+
+def run_inner_loop(papers: DataFrame, models: Models, cfg: LoopConfig = LoopConfig(), prompts: PromptSet = PLAIN, meter: Meter | None = None) -> DataFrame:
+    """One row a paper and round: paper_id, iteration, outcome, qa, qv_verdict, weak_samples, strong_samples, weak_avg, weak_max, strong_avg, gap, reasons, accepted, error.
+
+    ``papers`` has paper_id (unique), title and text, and may have shown_id, the id that models see. A paper's loop ends when a question is accepted,
     when an outcome stops it, or after ``max_iterations``. A malformed reply burns a round and leaves a
     note for the next one only; technical failures never enter the history.
     """
     saved = Checkpoints(papers.sparkSession)
-    papers = saved.save(papers.select("paper_id", "title", "text"), "papers")
+    shown_id = F.col("shown_id") if "shown_id" in papers.columns else F.col("paper_id")
+    papers = saved.save(papers.select("paper_id", shown_id.alias("shown_id"), "title", "text"), "papers")
     active = papers.select("paper_id", F.lit("").alias("note"))
     rounds = attempts = None
     for it in range(cfg.max_iterations):
@@ -153,16 +201,21 @@ def run_inner_loop(papers: DataFrame, models: Models, cfg: LoopConfig = LoopConf
         shown = render_history(attempts) if attempts is not None else None
         open_ = active.join(papers, "paper_id")
         open_ = open_.join(shown, "paper_id", "left") if shown is not None else open_.withColumn("history", F.lit(None).cast("string"))
-        ask_for = F.concat_ws("\n\n", "title", "paper_id", "text", F.nullif("note", F.lit("")), "history")
-        asked = ask(open_.select("paper_id", ask_for.alias("prompt")), models, "challenger", "Write a question and a rubric as JSON.", "prompt")
-        made = saved.save(parse_question(saved.save(asked, f"{name}-challenger")).drop("prompt", "reply"), f"{name}-questions")
+        feedback = F.concat_ws("\n\n", F.nullif("note", F.lit("")), "history")
+        asked = ask(open_.select("paper_id", prompts.challenger(F.col("title"), F.col("shown_id"), F.col("text"), feedback).alias("prompt")), models, "challenger", prompts.texts["challenger_system"], "prompt")
+        replied = saved.save(asked.drop("prompt"), f"{name}-challenger")
+        if meter:
+            meter(replied, "challenger")
+        made = saved.save(parse_question(replied).drop("reply"), f"{name}-questions")
         # The verifier never sees the reference answer.
         to_verify = made.where(F.col("qa").isNotNull()).join(papers, "paper_id").select(
-            "paper_id", F.concat_ws("\n\n", "title", "text", "qa.question_type", "qa.context", "qa.question", _rubric_json(F.col("qa.criteria"))).alias("prompt")
+            "paper_id", verifier_prompt(prompts).alias("prompt")
         )
         verdicts = None
         for k in range(cfg.infra_retries + 1):
-            got = saved.save(ask(to_verify.withColumn("__try", F.lit(k)), models, "quality_verifier", "Check the question; reply with the verdict as JSON.", "prompt", "__try").drop("__try"), f"{name}-verifier-{k}")
+            got = saved.save(ask(to_verify.withColumn("__try", F.lit(k)), models, "quality_verifier", prompts.texts["qv_system"], "prompt", "__try").drop("__try"), f"{name}-verifier-{k}")
+            if meter:
+                meter(got, "quality_verifier")
             got = got.withColumn("v", verdict.verdict(json_text.extract_json(F.col("reply.text"))))
             again = F.col("v").isNull() & F.col("reply.error_class").isNull() & ~F.coalesce(F.col("reply.truncated"), F.lit(False))
             last = k == cfg.infra_retries
@@ -175,14 +228,14 @@ def run_inner_loop(papers: DataFrame, models: Models, cfg: LoopConfig = LoopConf
                 break
         verdicts = saved.save(verdicts.select("paper_id", "v", (F.coalesce(F.col("reply.error_class") == "context_length", F.lit(False))).alias("v_too_long")), f"{name}-verdicts")
         passed = made.join(verdicts.where("v.passed").select("paper_id"), "paper_id", "left_semi")
-        weak = grade(passed, models, "weak_solver", cfg, saved, name)
+        weak = grade(passed, models, "weak_solver", cfg, saved, name, prompts, meter)
         weak = weak.select(
             "paper_id", F.col("samples").alias("weak_samples"), gates.first_infra_error(F.col("samples")).alias("weak_infra"), gates.mean(_scores("samples")).alias("weak_avg"),
             F.array_max(_scores("samples")).alias("weak_max"), F.size(F.filter(_scores("samples"), lambda x: x == 0)).alias("weak_zeros"),
         )
         check = gates.weak_check(F.col("weak_avg"), F.col("weak_max"), F.col("weak_zeros"), cfg.thresholds)
         to_strong = passed.join(weak.where(F.col("weak_infra").isNull() & check["passed"]).select("paper_id"), "paper_id", "left_semi")
-        strong = grade(to_strong, models, "strong_solver", cfg, saved, name)
+        strong = grade(to_strong, models, "strong_solver", cfg, saved, name, prompts, meter)
         strong = strong.select("paper_id", F.col("samples").alias("strong_samples"), gates.first_infra_error(F.col("samples")).alias("strong_infra"), gates.mean(_scores("samples")).alias("strong_avg"))
         all_ = made.join(verdicts, "paper_id", "left").join(weak, "paper_id", "left").join(strong, "paper_id", "left")
         gate = gates.gate_outcome(F.col("weak_avg"), F.col("weak_max"), F.col("weak_zeros"), F.col("strong_avg"), cfg.thresholds)
@@ -192,16 +245,14 @@ def run_inner_loop(papers: DataFrame, models: Models, cfg: LoopConfig = LoopConf
             F.col("weak_infra").isNotNull(), F.col("strong_infra").isNotNull(), gate,
         )
         reasons = F.when(F.col("strong_avg").isNotNull(), gates.strong_check(F.col("weak_avg"), F.col("strong_avg"), cfg.thresholds)["reasons"]).when(F.col("weak_avg").isNotNull(), check["reasons"]).otherwise(F.col("v.issues"))
-        best, worst = gates.first_best(F.col("weak_samples")), gates.first_best(F.col("strong_samples"), ascending=True)
-        this = saved.save(all_.select(
-            "paper_id", F.lit(it).alias("iteration"), outcome.alias("outcome"), "qa", "weak_avg", "weak_max", "strong_avg", (F.col("strong_avg") - F.col("weak_avg")).alias("gap"),
-            reasons.alias("reasons"), (outcome == "accepted").alias("accepted"), F.coalesce("problem", "call_error", "weak_infra", "strong_infra").alias("error"),
-            F.coalesce(text.snippet(worst["judge_feedback"]), text.snippet(best["judge_feedback"]), text.snippet(F.col("v.feedback"))).alias("said"),
+        ended = all_.withColumn("outcome", outcome).withColumn("gap", F.col("strong_avg") - F.col("weak_avg")).withColumn("reasons", reasons)
+        this = saved.save(ended.select(
+            "paper_id", F.lit(it).alias("iteration"), "outcome", "qa", F.col("v").alias("qv_verdict"), "weak_samples", "strong_samples", "weak_avg", "weak_max", "strong_avg", "gap",
+            "reasons", (F.col("outcome") == "accepted").alias("accepted"), F.coalesce("problem", "call_error", "weak_infra", "strong_infra").alias("error"), failure_detail(F.col("outcome")).alias("detail"),
         ), name)
         rounds = this if rounds is None else rounds.unionByName(this)
         failed = this.where(F.col("outcome").isin(*gates.FAILURE_MODES)).select(
-            "paper_id", F.col("outcome").alias("mode"), F.col("iteration").alias("seq"), F.col("qa.question").alias("question"),
-            F.concat(F.array_join("reasons", ", "), F.lit("; said: "), F.coalesce("said", F.lit(""))).alias("detail"),
+            "paper_id", F.col("outcome").alias("mode"), F.col("iteration").alias("seq"), F.col("qa.question").alias("question"), F.coalesce("detail", F.lit("")).alias("detail"),
         )
         attempts = failed if attempts is None else attempts.unionByName(failed)
         note = F.when(F.col("outcome") == "malformed", F.concat(F.lit("[Your previous response was malformed] "), F.col("error"), F.lit("\nReply only with one valid JSON object."))).otherwise("")
@@ -211,18 +262,35 @@ def run_inner_loop(papers: DataFrame, models: Models, cfg: LoopConfig = LoopConf
     return rounds
 
 
-def final_filter(accepted: DataFrame, papers: DataFrame, models: Models, outage_fails: bool = True) -> DataFrame:
-    """paper_id and passed: the rubric's shape first, and the verifier only for those whose shape is right.
+def final_filter(
+    accepted: DataFrame, papers: DataFrame, models: Models, outage_fails: bool = True, prompts: PromptSet = PLAIN, shape: Shape = Shape(), retries: int = 2, meter: Meter | None = None
+) -> DataFrame:
+    """paper_id, passed, issues and feedback: the rubric's shape first, and the verifier only for those whose shape is right.
 
-    An unreadable reply fails. A call that failed altogether fails too, or is null where
+    ``prompts`` are the seed's, whatever variant made the question. An unreadable reply is asked for again,
+    ``retries`` times, and then fails. A call that failed altogether fails too, or is null where
     ``outage_fails`` is off (then the session leaves the score).
     """
     saved = Checkpoints(accepted.sparkSession)
     n = verdict.rubric_counts(F.col("qa.criteria"))
-    shaped = saved.save(accepted.select("paper_id", "qa", (F.size(verdict.rubric_shape(n["n_positive"], n["n_total"])) == 0).alias("shape")), "shape")
-    prompt = F.concat_ws("\n\n", "title", "text", "qa.question_type", "qa.context", "qa.question", _rubric_json(F.col("qa.criteria")))
-    asked = ask(shaped.where("shape").join(papers, "paper_id").select("paper_id", prompt.alias("prompt")), models, "quality_verifier", "Check the question; reply with the verdict as JSON.", "prompt")
-    v = verdict.verdict(json_text.extract_json(F.col("reply.text")))
-    ok = F.when(F.col("reply.error_class").isNotNull(), F.lit(False) if outage_fails else F.lit(None).cast("boolean")).otherwise(F.coalesce(v["passed"], F.lit(False)))
-    judged = saved.save(asked, "verdicts").select("paper_id", ok.alias("passed"))
-    return shaped.where(~F.col("shape")).select("paper_id", F.lit(False).alias("passed")).unionByName(judged)
+    wrong = verdict.rubric_shape(n["n_positive"], n["n_total"], shape.least_positive, shape.least_negative, shape.least_total, shape.most_total)
+    shaped = saved.save(accepted.select("paper_id", "qa", wrong.alias("wrong")), "shape")
+    pending = shaped.where(F.size("wrong") == 0).join(papers, "paper_id").select("paper_id", verifier_prompt(prompts).alias("prompt"))
+    judged = None
+    for k in range(retries + 1):
+        got = saved.save(ask(pending.withColumn("__try", F.lit(k)), models, "quality_verifier", prompts.texts["qv_system"], "prompt", "__try").drop("__try"), f"verdicts-{k}")
+        if meter:
+            meter(got, "quality_verifier")
+        got = got.withColumn("v", verdict.verdict(json_text.extract_json(F.col("reply.text"))))
+        again = F.col("v").isNull() & F.col("reply.error_class").isNull()
+        done = got if k == retries else got.where(~again)
+        judged = done if judged is None else judged.unionByName(done)
+        if k == retries:
+            break
+        pending = got.where(again).select("paper_id", "prompt")
+        if pending.first() is None:
+            break
+    ok = F.when(F.col("reply.error_class").isNotNull(), F.lit(False) if outage_fails else F.lit(None).cast("boolean")).otherwise(F.coalesce(F.col("v.passed"), F.lit(False)))
+    said = judged.select("paper_id", ok.alias("passed"), F.coalesce("v.issues", F.expr("cast(array() as array<string>)")).alias("issues"), F.coalesce("v.feedback", "reply.error", F.lit("")).alias("feedback"))
+    off = shaped.where(F.size("wrong") > 0).select("paper_id", F.lit(False).alias("passed"), F.transform("wrong", lambda x: F.concat(F.lit("rubric_count_"), x)).alias("issues"), F.lit("").alias("feedback"))
+    return saved.save(off.unionByName(said), "filtered")

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import Checkpoints
+from ..functions.gates import STOP_OUTCOMES, Thresholds
+from ..operators.calls import Models, call_once
 from ..operators.dataset import minibatch, replicate, split_papers
 from ..operators.metrics import session_scores
 from ..operators.sampling import draw
+from ..operators.digest import numbered, session_digests
+from ..sources import sinks
 from .config import Meta
-from .prompts import PromptSet
+from .inner_loop import LoopConfig, Meter, Shape, final_filter, run_inner_loop
+from .prompts import MUTABLE, PromptSet, blocks
 
 VARIANT_DDL = "variant_id string, parent_id string, iteration int, scores array<double>, mean double"
 
@@ -30,6 +38,9 @@ class Variant:
     def mean(self) -> float | None:
         return sum(self.scores) / len(self.scores) if self.scores else None
 
+    def record(self) -> dict:
+        return {"variant_id": self.variant_id, "parent_id": self.parent_id, "iteration": self.iteration, "scores": list(self.scores), "mean": self.mean}
+
 
 @dataclass
 class Population:
@@ -58,54 +69,161 @@ def evaluate(run: Evaluate, prompts: PromptSet, papers: DataFrame, meta: Meta) -
 
 
 def run_outer_loop(
-    papers: DataFrame, seed: PromptSet, run: Evaluate, analyse: Callable[[PromptSet, DataFrame], str | None], propose: Callable[[PromptSet, str, str], str],
-    meta: Meta = Meta(), rng_seed: int = 42,
+    papers: DataFrame, seed: PromptSet, run: Evaluate, analyse: Callable[..., str | None], propose: Callable[..., str],
+    meta: Meta = Meta(), rng_seed: int = 42, out_dir: str | None = None,
 ) -> Population:
     """``meta.iterations`` steps. Each logs one of the statuses accepted, rejected, invalid_eval, no_proposal, analysis_failed.
 
     A child is taken only when it scores strictly above its parent's mean with the parent's new score
-    in it. An evaluation with too few scored sessions decides nothing and leaves no score.
+    in it. An evaluation with too few scored sessions decides nothing and leaves no score. With ``out_dir``
+    (a folder of the driver, as all of this is small) every variant, the sessions of each evaluation, the
+    analysis, history.jsonl and population.json are written as they come. ``analyse`` gets prompts and
+    sessions, ``propose`` prompts, analysis and the last problem; callables with an attribute ``wants_log``
+    also get the rendered log.
     """
     spark, rng = papers.sparkSession, random.Random(rng_seed)
     split = split_papers(papers, "paper_id", meta.n_train, meta.n_val, rng_seed).persist()
     train, val = (papers.join(split.where(F.col("split") == s).select("paper_id"), "paper_id", "left_semi") for s in ("train", "val"))
     population = Population([Variant("seed", None, 0, seed)])
+    out = Path(out_dir) if out_dir else None
+
+    def keep(variant: Variant) -> None:
+        if out:
+            sinks.write_variant(out, variant.record(), variant.prompts.texts, seed.texts, MUTABLE)
+
+    def keep_sessions(sessions: DataFrame, it: int, name: str) -> None:
+        if out:
+            columns = [c for c in ("paper_id", "sample", "passed", "stopped_by", "final_filter", "rounds") if c in sessions.columns]
+            for row in sessions.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("r")).toLocalIterator():
+                sinks.append_line(out / "iterations" / f"{it:03d}" / f"{name}.jsonl", json.loads(row.r))
+
+    def with_log(call, *args):
+        return call(*args, render_log(population.log[:-1])) if getattr(call, "wants_log", False) else call(*args)
+
+    keep(population.variants[0])
     for it in range(1, meta.iterations + 1):
         parent = population.get(draw(population.frame(spark), "variant_id", "mean", meta.temperature, rng))
-        entry = {"iteration": it, "parent_id": parent.variant_id, "status": None, "child_id": None, "parent_score": None, "child_score": None, "changed": [], "note": ""}
+        entry = {"iteration": it, "parent_id": parent.variant_id, "status": None, "child_id": None, "parent_score": None, "child_score": None, "changed": [], "rationale": "", "note": ""}
         population.log.append(entry)
-        _, _, sessions = evaluate(run, parent.prompts, minibatch(train, "paper_id", meta.minibatch, rng_seed + it), meta)
-        analysis = analyse(parent.prompts, sessions)
-        if not analysis:
-            entry["status"] = "analysis_failed"
-            continue
-        child, problem = None, ""
-        for _ in range(meta.edit_retries + 1):
-            try:
-                child, entry["changed"] = parent.prompts.edited(propose(parent.prompts, analysis, problem), meta.most_prompt_chars)
-                break
-            except ValueError as e:
-                problem = str(e)
-        if child is None:
-            entry |= {"status": "no_proposal", "note": problem}
-            continue
-        entry["child_id"] = f"v{it}"
-        parent_score, parent_valid, _ = evaluate(run, parent.prompts, val, meta)
-        child_score, child_valid, _ = evaluate(run, child, val, meta)
-        entry |= {"parent_score": parent_score, "child_score": child_score}
-        if not (parent_valid and child_valid):
-            entry["status"] = "invalid_eval"
-            continue
-        population.scored(parent.variant_id, parent_score)
-        if child_score > population.get(parent.variant_id).mean:
-            entry["status"] = "accepted"
-            population.variants.append(Variant(entry["child_id"], parent.variant_id, it, child, (child_score,)))
-        else:
-            entry["status"] = "rejected"
+        _step(it, parent, entry, population, run, analyse, propose, with_log, train, val, meta, rng_seed, keep, keep_sessions, out)
+        if out:
+            sinks.append_line(out / "history.jsonl", entry)
+            sinks.write_population(out, [v.record() for v in population.variants])
     split.unpersist()
     return population
 
 
+def _step(it, parent, entry, population, run, analyse, propose, with_log, train, val, meta, rng_seed, keep, keep_sessions, out) -> None:
+    _, _, sessions = evaluate(run, parent.prompts, minibatch(train, "paper_id", meta.minibatch, rng_seed + it), replace(meta, samples_per_paper=1))
+    keep_sessions(sessions, it, "train")
+    analysis = with_log(analyse, parent.prompts, sessions)
+    if not analysis:
+        entry["status"] = "analysis_failed"
+        return
+    if out:
+        (out / "iterations" / f"{it:03d}").mkdir(parents=True, exist_ok=True)
+        (out / "iterations" / f"{it:03d}" / "analysis.md").write_text(analysis + "\n", encoding="utf-8")
+    child, problem = None, ""
+    for _ in range(meta.edit_retries + 1):
+        reply = with_log(propose, parent.prompts, analysis, problem)
+        try:
+            child, entry["changed"] = parent.prompts.edited(reply, meta.most_prompt_chars)
+            entry["rationale"] = blocks(reply).get("rationale", "").strip()
+            break
+        except ValueError as e:
+            problem = str(e)
+    if child is None:
+        entry |= {"status": "no_proposal", "note": problem}
+        return
+    entry["child_id"] = f"v{it}"
+    made = Variant(entry["child_id"], parent.variant_id, it, child)
+    parent_score, parent_valid, parent_sessions = evaluate(run, parent.prompts, val, meta)
+    child_score, child_valid, child_sessions = evaluate(run, child, val, meta)
+    keep_sessions(parent_sessions, it, "val_parent")
+    keep_sessions(child_sessions, it, "val_child")
+    entry |= {"parent_score": parent_score, "child_score": child_score}
+    if not (parent_valid and child_valid):
+        entry["status"] = "invalid_eval"
+        keep(made)
+        return
+    population.scored(parent.variant_id, parent_score)
+    entry["parent_score"] = population.get(parent.variant_id).mean
+    made = replace(made, scores=(child_score,))
+    if child_score > entry["parent_score"]:
+        entry["status"] = "accepted"
+        population.variants.append(made)
+    else:
+        entry["status"] = "rejected"
+    keep(population.get(parent.variant_id))
+    keep(made)
+
+
+def inner_loop_sessions(models: Models, seed: PromptSet, cfg: LoopConfig = LoopConfig(max_iterations=1), shape: Shape = Shape(), meter: Meter | None = None) -> Evaluate:
+    """Sessions from inner-loop runs: paper_id, sample, title, passed, stopped_by, final_filter, rounds.
+
+    A session passes when a question is accepted and then passes the final filter, which reads the seed's
+    prompts whatever variant runs. One that a technical failure stopped, in the loop or in the filter, has
+    ``stopped_by``; one without any round counts as a crash.
+    """
+
+    def run(prompts: PromptSet, papers: DataFrame) -> DataFrame:
+        saved = Checkpoints(papers.sparkSession)
+        named = papers.withColumn("session_id", F.concat_ws("#", "paper_id", F.col("sample").cast("string")))
+        named = saved.save(named.select("session_id", "paper_id", "sample", "title", "text"), "sessions")
+        todo = named.select(F.col("session_id").alias("paper_id"), F.col("paper_id").alias("shown_id"), "title", "text")
+        rounds = saved.save(run_inner_loop(todo, models, cfg, prompts, meter), "rounds")
+        filtered = final_filter(rounds.where("accepted"), todo, models, False, seed, shape, cfg.infra_retries, meter)
+        last = rounds.groupBy(F.col("paper_id").alias("session_id")).agg(
+            F.max_by("outcome", "iteration").alias("last"), F.array_sort(F.collect_list(F.struct(*[c for c in rounds.columns if c != "paper_id"])), lambda a, b: a["iteration"] - b["iteration"]).alias("rounds"),
+        )
+        verdicts = filtered.select(F.col("paper_id").alias("session_id"), F.struct("passed", "issues", "feedback").alias("v"))
+        all_ = named.drop("text").join(last, "session_id", "left").join(verdicts, "session_id", "left")
+        stopped = (
+            F.when(F.col("last").isNull(), "crash").when(F.col("last").isin(*STOP_OUTCOMES), F.col("last"))
+            .when((F.col("last") == "accepted") & F.col("v.passed").isNull(), "final_filter_error")
+        )
+        return saved.save(all_.select(
+            "session_id", "paper_id", "sample", "title", F.coalesce(F.col("v.passed"), F.lit(False)).alias("passed"), stopped.alias("stopped_by"),
+            F.when(F.col("v.passed").isNotNull(), F.col("v")).alias("final_filter"), "rounds",
+        ), "scored")
+
+    return run
+
+
+_FORMAT = (
+    "Reply with blocks only: a line <<<name>>>, the whole new text of that field, a line <<<end>>>. Begin with a block named rationale. "
+    f"The fields are {', '.join(MUTABLE)}; $feedback must stay in challenger_refine, and no other $name may appear."
+)
+
+
+def model_agents(models: Models, answer_chars: int = 1500, thresholds: Thresholds = Thresholds()) -> tuple[Callable[..., str | None], Callable[..., str]]:
+    """``analyse`` and ``propose`` for ``run_outer_loop`` by calls of the role ``meta_optimizer``.
+
+    The analyser reads the digests of all sessions and the log; a call that fails is no analysis. The
+    implementer reads the prompts that may change, the analysis, the log, and what was wrong with its last reply.
+    """
+    rules = ", ".join(f"{k}={v}" for k, v in asdict(thresholds).items())
+
+    def call(system: str, user: str, attempt: int = 0) -> dict:
+        return call_once(models, "meta_optimizer", system, user, attempt)
+
+    def analyse(prompts: PromptSet, sessions: DataFrame, log: str) -> str | None:
+        one = sessions.select("session_id", F.explode("rounds").alias("r")).select(F.col("session_id").alias("paper_id"), "r.*")
+        digests = session_digests(one, sessions.drop("rounds"), answer_chars).orderBy("session_id")
+        text = numbered([r.digest for r in digests.toLocalIterator()])  # a minibatch of sessions
+        system = f"You study runs of a loop that writes, verifies and grades research questions (acceptance: {rules}). Find recurring causes of failure, with evidence."
+        got = call(system, f"Sessions:\n{text}\n\nEarlier iterations:\n{log}")
+        return (got["text"] or "").strip() or None
+
+    def propose(prompts: PromptSet, analysis: str, problem: str, log: str) -> str:
+        now = "\n".join(f"<<<{name}>>>\n{prompts.texts[name]}\n<<<end>>>" for name in MUTABLE)
+        again = f"\n\nYour last reply couldn't be used: {problem}" if problem else ""
+        return call(f"You rewrite instructions so that more questions are accepted. {_FORMAT}", f"Now:\n{now}\n\nAnalysis:\n{analysis}\n\nEarlier iterations:\n{log}{again}")["text"] or ""
+
+    analyse.wants_log = propose.wants_log = True
+    return analyse, propose
+
+
 def best(population: Population) -> Variant:
     """The variant with the best mean, an unscored one counting as -1; the first of equal ones."""
     return max(population.variants, key=lambda v: -1.0 if v.mean is None else v.mean)

@@ -8,15 +8,13 @@ from dataclasses import dataclass, field
 from urllib.error import HTTPError, URLError
 from urllib.request import Request, urlopen
 
+from ..functions.text import classify
 from ..operators.calls import ModelError, Reply
 from ..plans.config import Role
 
-_TOO_LONG = ("context length", "context window", "too many tokens", "prompt is too long")
-
-
 @dataclass(frozen=True)
 class HttpModels:
-    """Roles share nothing but the endpoint; the key is read from the environment where the call runs."""
+    """Chat calls by role. A role's own endpoint goes before the common one; keys are read from the environment where the call runs."""
 
     endpoint: str
     roles: dict[str, Role]
@@ -29,31 +27,33 @@ class HttpModels:
         body = {"model": r.model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}], "max_tokens": r.max_tokens, "temperature": r.temperature}
         if r.thinking:
             body["chat_template_kwargs"] = {"enable_thinking": True}
+        for name in ("top_p", "top_k", "presence_penalty"):
+            if getattr(r, name) is not None:
+                body[name] = getattr(r, name)
         if r.reasoning_effort is not None:
             body["reasoning_effort"] = r.reasoning_effort
         return body | self.extra.get(role, {})
 
     def reply(self, role: str, system: str, user: str, attempt: int) -> Reply:
         headers = {"Content-Type": "application/json"}
-        if self.key_variable:
-            headers["Authorization"] = f"Bearer {os.environ[self.key_variable]}"
-        request = Request(self.endpoint, json.dumps(self.request(role, system, user)).encode(), headers)
+        if key := self.roles[role].key_variable or self.key_variable:
+            headers["Authorization"] = f"Bearer {os.environ[key]}"
+        request = Request(self.roles[role].endpoint or self.endpoint, json.dumps(self.request(role, system, user)).encode(), headers)
         try:
             with urlopen(request, timeout=self.roles[role].timeout_s) as response:
                 got = json.load(response)
         except HTTPError as e:
             said = e.read().decode(errors="replace")
             raise ModelError(classify(e.code, said), f"{e.code}: {said[:500]}") from e
-        except (URLError, TimeoutError, OSError) as e:
-            raise ModelError("transient", str(e)) from e
-        choice, used = got["choices"][0], got.get("usage") or {}
-        return Reply(choice["message"].get("content") or "", choice.get("finish_reason") == "length", got.get("model", self.roles[role].model), used.get("prompt_tokens"), used.get("completion_tokens"))
-
-
-def classify(status: int, said: str) -> str:
-    low = said.lower()
-    if any(x in low for x in _TOO_LONG):
-        return "context_length"
-    if status in (401, 403):
-        return "auth"
-    return "transient" if status in (408, 409, 429) or status >= 500 else "other"
+        except (URLError, TimeoutError, OSError, ValueError) as e:
+            raise ModelError(classify(None, str(e)), str(e)) from e
+        try:
+            choice, used = got["choices"][0], got.get("usage") or {}
+            text = choice["message"].get("content") or ""
+        except (KeyError, IndexError, TypeError, AttributeError) as e:
+            raise ModelError(classify(None, str(e)), f"an unreadable reply: {str(got)[:200]}") from e
+        more = lambda part, name: (used.get(part) or {}).get(name)
+        return Reply(
+            text, choice.get("finish_reason") == "length", got.get("model", self.roles[role].model), used.get("prompt_tokens"), used.get("completion_tokens"),
+            more("completion_tokens_details", "reasoning_tokens"), more("prompt_tokens_details", "cached_tokens"),
+        )

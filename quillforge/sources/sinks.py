@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import json
 import os
 import shutil
@@ -47,18 +48,42 @@ def write_run(rounds: DataFrame, verdicts: DataFrame, folder: str) -> dict[str,
     }
 
 
-def write_variant(folder: str | Path, variant: dict, prompts: dict[str, str], seed: dict[str, str]) -> None:
-    """A variant's prompts, their unified diff against the seed, and its record."""
-    base = Path(folder) / str(variant["variant_id"])
-    base.mkdir(parents=True, exist_ok=True)
+def write_variant(folder: str | Path, variant: dict, prompts: dict[str, str], seed: dict[str, str], mutable: tuple[str, ...] = ()) -> None:
+    """``<folder>/variants/<id>``: the prompts, a unified diff of the changed ones against the seed, and the variant's record."""
+    base = Path(folder) / "variants" / str(variant["variant_id"])
+    (base / "prompts").mkdir(parents=True, exist_ok=True)
     diff: list[str] = []
-    for name in sorted(prompts):
-        (base / f"{name}.txt").write_text(prompts[name] + "\n", encoding="utf-8")
-        diff += difflib.unified_diff(seed.get(name, "").splitlines(True), prompts[name].splitlines(True), f"seed/{name}", f"{variant['variant_id']}/{name}")
-    (base / "changes.diff").write_text("".join(diff), encoding="utf-8")
+    for name in prompts:
+        (base / "prompts" / f"{name}.txt").write_text(prompts[name] + "\n", encoding="utf-8")
+    for name in mutable or tuple(prompts):
+        if prompts[name] != seed.get(name, ""):
+            diff += difflib.unified_diff(seed.get(name, "").splitlines(True), prompts[name].splitlines(True), f"seed/{name}.txt", f"variant/{name}.txt")
+    (base / "diff.patch").write_text("".join(diff), encoding="utf-8")
     write_json(base / "variant.json", variant)
 
 
+def write_population(folder: str | Path, variants: list[dict]) -> None:
+    """``<folder>/population.json``: the records of all variants that were kept."""
+    write_json(Path(folder) / "population.json", variants)
+
+
+def append_line(path: str | Path, value: Any) -> None:
+    """One more JSON line of a small log that the driver keeps."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with target.open("a", encoding="utf-8") as f:
+        f.write(json.dumps(value, ensure_ascii=False, default=str) + "\n")
+
+
+def file_sha256(path: str | Path) -> str:
+    """The digest by which a manifest names an input file."""
+    digest = hashlib.sha256()
+    with open(path, "rb") as f:
+        while part := f.read(1 << 20):
+            digest.update(part)
+    return digest.hexdigest()
+
+
 def complete_export(export: str | Path, base_model: str | Path, weights: tuple[str, ...] = (".safetensors", ".bin", ".pt", ".index.json")) -> list[str]:
     """Copy the base model's files that an export lacks, other than weights; their names, sorted."""
     there = set(os.listdir(export))
