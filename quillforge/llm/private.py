@@ -267,6 +267,12 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _distinct(texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """``texts`` with one row a digest; only those of ``copies`` (digests that repeat) are shuffled."""
+    few = _few(copies).select("digest")
+    return texts.join(few, "digest", "left_anti").unionByName(texts.join(few, "digest", "left_semi").dropDuplicates(["digest"]))
+
+
 def sightings(places: DataFrame, scratch: Scratch) -> DataFrame:
     """entity, digest, sight, n_e, d_e: the texts of each entity, its sightings and texts counted; entities and sightings are numbers.
 
@@ -297,7 +303,8 @@ def shared_pairs(held: DataFrame, words: DataFrame, total: int, rule: Disclosure
     words that stand in too many of the texts with values alone; that table is written, counted, and used when small.
     """
     columns = ("number", "n_e", "d_e", "sight", "digest", "term")
-    often = held.where("n_e > 1").join(words, "digest").withColumn("term", F.explode("words")).select(*columns)
+    recurring = _few(scratch.save(held.where("n_e > 1").drop("entity")))
+    often = words.join(recurring, "digest").withColumn("term", F.explode("words")).select(*columns)
     common = scratch.save(words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("h_t")).where("h_t > 4"))
     if common.count() <= BROADCAST_ROWS:
         most = F.col("d_e") + _most_texts(float(total), F.col("n_e"), rule)
@@ -328,10 +335,9 @@ def corpus_counts(texts: DataFrame, terms: DataFrame, copies: DataFrame) -> Data
 def corpus_terms(texts: DataFrame, places: DataFrame, scratch: Scratch, rule: Disclosure) -> DataFrame | None:
     """digest, term, removed: what exceeds the thresholds in each text, by counts over the whole corpus; None where nothing can."""
     held = sightings(places, scratch)
-    own = texts.where(F.size("base") > 0).dropDuplicates(["digest"])
-    words = scratch.save(_masked(own).select("digest", _terms(F.col("masked")).alias("words")))
-    digests = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    total = digests.count()
+    digests = scratch.save(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")))
+    total, copies = digests.count(), scratch.save(digests.where("copies > 1"))
+    words = scratch.save(_masked(_distinct(texts.where(F.size("base") > 0), copies)).select("digest", _terms(F.col("masked")).alias("words")))
     often, codes = shared_pairs(held, words, total, rule, scratch)
 
     def counted(seen: DataFrame, least: int, discount: float) -> DataFrame:
@@ -342,7 +348,7 @@ def corpus_terms(texts: DataFrame, places: DataFrame, scratch: Scratch, rule: Di
     pairs = scratch.save(counted(often, 2, rule.discount).unionByName(counted(codes, 1, 0.0)))
     if pairs.first() is None:  # the corpus needn't be counted
         return None
-    counts = corpus_counts(texts, scratch.save(pairs.select("term").distinct()), scratch.save(digests.where("copies > 1")))
+    counts = corpus_counts(texts, scratch.save(pairs.select("term").distinct()), copies)
     # Texts that are one sighting of the entity count as one of n and n_t as well.
     n, n_t = F.lit(float(total)) - F.col("d_e") + F.col("n_e"), F.col("d_t") - F.col("d_te") + F.col("n_te")
     share = F.log2(F.col("n_te") * n / (n_t * F.col("n_e"))) / F.log2(n / F.col("n_e")) * F.col("n_te") / (F.col("n_te") + F.col("discount"))
