@@ -28,6 +28,7 @@ def entries(xml: str) -> list[tuple[str, str]]:
 class ListingReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.endpoint, self.query, self.most = options["endpoint"], options.get("query", ""), int(options.get("maxScan", "1000"))
+        self.wait_s = float(options.get("wait", "3"))
 
     def read(self, partition) -> Iterator[tuple[int, str, str]]:
         at = 0
@@ -40,6 +41,8 @@ class ListingReader(DataSourceReader):
             for i, (listing, title) in enumerate(page[: self.most - at]):
                 yield at + i, listing, title
             at += len(page)
+            if at < self.most:  # one page at a time, with a pause between two
+                time.sleep(self.wait_s)
 
 
 class ListingSource(DataSource):
