@@ -9,26 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..batches import bound_batches  # noqa: F401  for the operators
 from ..checkpoints import base_folder
 
 #: Rows of a batch are handed to numpy in runs of about this many bytes, so that scratch arrays stay small.
 RUN_BYTES = 1 << 20
 
 
-#: Bounds of an Arrow batch. JVM and Python worker hold one each per task.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch bounds where they are higher, so that long texts don't fill the workers' memory."""
-    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
-        spark.conf.set(rows, BATCH_ROWS)
-    now = spark.conf.get(size)
-    if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= BATCH_BYTES):
-        spark.conf.set(size, f"{BATCH_BYTES}b")
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder; see ``checkpoints.base_folder``."""
     return f"{base_folder(spark)}/qf-{uuid.uuid4().hex}"
